@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup, mixing
+from palimpsest.llm import exact_dedup, mixing, near_dedup, packing, sharding
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_pack": packing.op7_pack,
+    "op8_shard": sharding.op8_shard,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE,
