@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder (eager)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: Spark serves them a zip of it, unless PYTHONPATH names its folder already."""
+    root = Path(__file__).resolve().parent
+    sc = spark.sparkContext
+    if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_palimpsest_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="palimpsest-")) / "palimpsest_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._palimpsest_shipped = True
