@@ -1 +1 @@
-"""Subpackage of palimpsest."""
+"""Forensic queries as logical plans over ledger and edges."""
