@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.tables import HIDDEN, q, read
+from palimpsest.llm.textkit import count_tokens
+from palimpsest.shared import cut
 
 BUCKETS = 4096
 #: The production mix: the source that dominates the crawl counts twice, any other once; 7 tenths of all tokens are wanted.
@@ -13,9 +16,13 @@ WEIGHTS, DEFAULT_WEIGHT, SHARE = {"src0": 2}, 1, (7, 10)
 
 
 def tokens_of(text: Column) -> Column:
-    """Words separated by ASCII white space; a null has none. One pass over the bytes, without regular expressions."""
-    flat = F.translate(text, "\t\n\r\f\x0b", "     ")
-    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split(flat, " "), lambda w: w != ""))).cast("long")
+    """Words separated by ASCII white space; a null has none. Counted on Arrow buffers, many times faster than splitting in the JVM."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(count_tokens(texts))
+
+    return run(text)
 
 
 def unit_of(id_col: Column, seed: int) -> Column:
@@ -42,7 +49,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weig
     hashed = unit_of(q(id_col), seed)
     src = F.coalesce(F.concat(F.lit("="), q(source_col)), F.lit("null"))
     narrow = docs.select(src.alias(s), hashed.alias(u), tokens_of(q(text_col)).alias(t))
-    narrow = narrow.withColumn(b, F.shiftright(u, 60 - BUCKETS.bit_length() + 1))
+    # Texts are read once: what is needed of each row is some 40 bytes, kept in the shared folder.
+    narrow = cut(narrow.withColumn(b, F.shiftright(u, 60 - BUCKETS.bit_length() + 1)))
     histogram = narrow.groupBy(s, b).agg(F.sum(t).alias(t), F.count("*").alias("n"))
     weight = F.lit(default_weight).cast("long")
     for name, w in weights.items():

@@ -120,3 +120,24 @@ def counted(doc: np.ndarray, h: np.ndarray, doc_bits: int = 12) -> tuple[np.ndar
     count = np.diff(np.append(new, len(key)))
     key = key[new]
     return (key >> np.uint64(64 - doc_bits)).astype(np.int64), key & low, count
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\f\x0b")] = True
+
+
+def count_tokens(texts: pa.Array) -> np.ndarray:
+    """How many runs of bytes other than ASCII white space each text has; a null has none."""
+    raw, off, _ = text_buffers(texts)
+    out = np.zeros(len(texts), np.int64)
+    for i, j in pieces(off, 1 << 22, 1 << 20):
+        part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        if not len(part):
+            continue
+        word = ~_SPACE[part]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        edge = at[at < len(part)]
+        first[edge] = word[edge]
+        out[i:j] = np.diff(np.searchsorted(np.flatnonzero(first), at))
+    return out
