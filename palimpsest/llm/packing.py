@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.mixing import tokens_of
 from palimpsest.llm.tables import HIDDEN, first_row_order, q, read
+from palimpsest.shared import cut
 
 CAPACITY, BLOCK, NODES = 2048, 2048, 4000
 
@@ -145,7 +146,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, text_col
     """
     id_type = docs.schema[id_col].dataType
     order = first_row_order(docs, id_col, (text_col,))
-    rows = docs.select(q(id_col).alias("id"), tokens_of(q(text_col)).alias("n"), F.xxhash64(order).alias("o")).where("n > 0")
+    # Texts are read once: ids and lengths are kept in the shared folder.
+    rows = cut(docs.select(q(id_col).alias("id"), tokens_of(q(text_col)).alias("n"), F.xxhash64(order).alias("o"))).where("n > 0")
     full = rows.where(f"n >= {capacity}").select("id", "o", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {capacity} - 1"))).alias("k"))
     one = F.array(F.lit(capacity).cast("long"))
     whole = full.select(F.concat(F.lit("w"), F.hex("o"), F.lit("-"), F.col("k")).alias("sequence"), F.array("id").alias("doc_ids"), F.array(F.col("k") * capacity).alias("starts"), one.alias("lengths"), F.lit(capacity).cast("long").alias("used"))
