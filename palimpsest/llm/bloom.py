@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from palimpsest.llm.textkit import mix
 from palimpsest.shared import cut
@@ -111,17 +110,15 @@ class RepeatFilter:
     def hit(self, h: Column) -> Column:
         shared = self._shared
 
-        @pandas_udf("boolean")
-        def probe(h):  # noqa: ANN001, ANN202
-            import pandas as pd
-
+        @F.arrow_udf("boolean")
+        def probe(h: pa.Array) -> pa.Array:  # not by pandas, which turns longs beside nulls into floats
             log2, base, mask, flat = shared.value
-            null = h.isna().to_numpy()
-            x = h.fillna(0).to_numpy(np.int64).view(np.uint64)
+            null = np.asarray(h.is_null())
+            x = h.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
             seg = (x >> np.uint64(64 - log2)).astype(np.int64) if log2 else np.zeros(len(x), np.int64)
             hit = ~null
             for p in _positions(x, mask[seg]):
                 hit &= (flat[base[seg] + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-            return pd.Series(hit)
+            return pa.array(hit)
 
         return probe(h)
