@@ -148,17 +148,21 @@ def _date(c: Cipher, s: str, back: bool) -> str:
     if not _DATES[0] <= day < _DATES[1]:
         return s
 
-    def same_order(v: int) -> bool:  # a date that starts with its day must not read as one that starts with its month
+    widths = [len(x) for x in ((parts[2], parts[4]) if order == "ymd" else (parts[0], parts[2]))]
+
+    def places(v: int) -> tuple[int, int]:
         new = datetime.date.fromordinal(_DATES[0] + v)
-        return order != "dmy" or parts[1] != "/" or new.day > 12
-
-    new = datetime.date.fromordinal(_DATES[0] + c.permute(order + (parts[1] if order == "dmy" else ""), _DATES[1] - _DATES[0], day - _DATES[0], same_order, back))
-    pad = lambda v, like: f"{v:02d}" if len(like) == 2 else str(v)
-    sep = parts[1]
-    if order == "ymd":
-        return sep.join((f"{new.year}", pad(new.month, parts[2]), pad(new.day, parts[4])))
-    x = (new.month, new.day) if order == "mdy" else (new.day, new.month)
-    return sep.join((pad(x[0], parts[0]), pad(x[1], parts[2]), f"{new.year}"))
+        return (new.day, new.month) if order == "dmy" else (new.month, new.day)
+
+    def fits(v: int) -> bool:
+        """One digit stays one digit, and a date that starts with its day must not read as one that starts with its month."""
+        two = places(v)
+        return all(x < 10 for x, w in zip(two, widths) if w == 1) and (order != "dmy" or parts[1] != "/" or two[0] > 12)
+
+    image = c.permute("date", _DATES[1] - _DATES[0], day - _DATES[0], fits, back)
+    two = [f"{x:0{w}d}" for x, w in zip(places(image), widths)]
+    year = str(datetime.date.fromordinal(_DATES[0] + image).year)
+    return parts[1].join([year, *two] if order == "ymd" else [*two, year])
 
 
 def _ip(c: Cipher, s: str, back: bool) -> str:
