@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import textkit as tk
 from palimpsest.llm.tables import HIDDEN, q, read
 
-BUCKETS, DIM, SIZES = 1 << 16, 16, (3, 4)
+BUCKETS, DIM, SIZES = 1 << 17, 16, (3, 4)
 #: Bound on the rows of each language that the model is fitted on.
 PER_LANGUAGE = 400
 
@@ -43,26 +43,29 @@ def subwords(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """The product of embeddings and softmax weights is folded into one table: the mean of its rows gives the logits."""
+    """The product of embeddings and softmax weights is folded into one table: the mean of its rows gives the logits.
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, least: float):
-        self.languages, self.table, self.bias = languages, table.astype(np.float32), bias
-        self.temperature, self.least = temperature, least
+    A last column marks the subwords that were seen in training. A text with fewer of these than texts held out have
+    (``usual``) loses confidence in proportion, so a script or language that the model doesn't know is rejected.
+    """
+
+    def __init__(self, languages: list[str], table: np.ndarray, seen: np.ndarray, temperature: float, least: float, usual: float):
+        self.languages, self.table = languages, np.concatenate([table, seen[:, None]], axis=1).astype(np.float32)
+        self.temperature, self.least, self.usual = temperature, least, usual
 
     def chances(self, mean: np.ndarray) -> np.ndarray:
-        z = (mean + self.bias) / self.temperature
+        z = mean[:, :-1] / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return z / z.sum(axis=1, keepdims=True) * np.minimum(1, mean[:, -1:] / self.usual)
 
     def batch(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(index of the likeliest language, its calibrated chance) of each text; chance 0 where there is no subword."""
         raw, off, _ = tk.text_buffers(text)
         best, chance = np.zeros(len(text), np.int64), np.zeros(len(text))
-        k = len(self.languages)
         for i, j in tk.pieces(off, 1 << 19):
             d, b = subwords(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             n = np.bincount(d, minlength=j - i)
-            mean = np.stack([np.bincount(d, self.table[b, c], j - i) for c in range(k)], axis=1) / np.maximum(n, 1)[:, None]
+            mean = np.stack([np.bincount(d, self.table[b, c], j - i) for c in range(self.table.shape[1])], axis=1) / np.maximum(n, 1)[:, None]
             p = self.chances(mean)
             best[i:j] = p.argmax(axis=1)
             chance[i:j] = np.where(n > 0, p.max(axis=1), 0.0)
@@ -73,7 +76,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: lis
     """Stochastic gradient descent in numpy. A fifth of the rows, held out, sets the temperature and the least chance that is accepted."""
     k = len(languages)
     rng = np.random.default_rng(seed)
-    e, w, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, k)), np.zeros(k)
+    e, w = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, k))
     held = np.arange(len(y)) % 5 == 4 if len(y) >= 20 else np.zeros(len(y), bool)
     train = np.flatnonzero(~held)
     touched = np.zeros(BUCKETS, bool)
@@ -92,7 +95,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: lis
             d, b, c = gather(rows)
             touched[b] = True
             x = np.stack([np.bincount(d, e[b, f] * c, len(rows)) for f in range(DIM)], axis=1)
-            z = x @ w + bias
+            z = x @ w
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
@@ -101,16 +104,16 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: lis
             done += 1
             dx = g @ w.T
             w -= lr * (x.T @ g)
-            bias -= lr * g.sum(axis=0)
             step = dx[d] * c[:, None] * (-lr * 50)  # each subword is a small part of the mean
             used, inv = np.unique(b, return_inverse=True)
             e[used] += np.stack([np.bincount(inv, step[:, f], len(used)) for f in range(DIM)], axis=1)
     e[~touched] = 0  # subwords that were never seen speak for no language
-    model = Model(languages, e @ w, bias, 1.0, 0.0)
+    model = Model(languages, e @ w, touched.astype(float), 1.0, 0.5, 1.0)
     rows = np.flatnonzero(held)
     if len(rows):
         d, b, c = gather(rows)
-        mean = np.stack([np.bincount(d, model.table[b, j] * c, len(rows)) for j in range(k)], axis=1)
+        mean = np.stack([np.bincount(d, model.table[b, j] * c, len(rows)) for j in range(k + 1)], axis=1)
+        model.usual = float(max(0.1, np.quantile(mean[:, -1], 0.01)))
 
         def loss(t: float) -> float:
             model.temperature = t
@@ -157,6 +160,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, precision: float =
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, precision: float = 0.99, text_col: str = "text", id_col: str = "doc_id", label_col: str = "lang", model: Model | None = None) -> DataFrame:
     """(id, language, confidence) of every row; language is ``und`` where the calibrated confidence is too low.
 
+    A text whose subwords are mostly unknown loses confidence in proportion.
     The model is fitted on at most ``per_language`` rows of each value of ``label_col``; every row is judged by its
     whole text. Confidence is the softmax chance at a temperature fitted on rows held out; the least one accepted
     keeps ``precision`` among the accepted rows held out, and is at least a half.
