@@ -15,11 +15,12 @@ from palimpsest.shared import cut
 SHARDS, FAN = 64, 2048
 
 
-def differencing(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Combine n partial partitions (rows of k sums) into one.
+def differencing(vectors: np.ndarray, leave: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Combine n partial partitions (rows of k sums) until ``leave`` of them are left.
 
     The two of the largest spread are combined again and again, one by falling and the other by rising sums, so that
-    large meets small. Returns the k sums and, for each input, the slot of the result that each of its slots went to.
+    large meets small; those left have small spreads and can still even out others. Returns the sums of those left,
+    and for each input which of them it is part of and to which of its slots each slot of the input went.
     """
     n, k = vectors.shape
     sums = {i: vectors[i] for i in range(n)}
@@ -27,7 +28,7 @@ def differencing(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     heapq.heapify(heap)
     joins: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     top = n
-    while len(heap) > 1:
+    while len(heap) > leave:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
         down, up = np.argsort(-sums[a], kind="stable"), np.argsort(sums[b], kind="stable")
@@ -36,35 +37,43 @@ def differencing(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sums[top] = out
         heapq.heappush(heap, (-int(out.max() - out.min()), top))
         top += 1
-    slot = np.empty((top, k), np.int64)
-    slot[top - 1] = np.arange(k)
+    left = sorted(sums)
+    slot, part = np.empty((top, k), np.int64), np.empty(top, np.int64)
+    slot[left], part[left] = np.arange(k), np.arange(len(left))
     for at in range(len(joins) - 1, -1, -1):  # from the last join down to the inputs
         a, b, down, up = joins[at]
         slot[a][down] = slot[n + at]
         slot[b][up] = slot[n + at]
-    return sums[top - 1], slot[:n]
+        part[a] = part[b] = part[n + at]
+    return np.stack([sums[i] for i in left]), part[:n], slot[:n]
 
 
-def _leaves(k: int):
+def _node(vectors: np.ndarray, node: int, keep: int, leave: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(parent, sums, slots) of a node's inputs; the sums of a parent stand beside the first of its inputs only."""
+    sums, part, slot = differencing(vectors, leave)
+    listed: list[list[int] | None] = [None] * len(part)
+    for i, first in zip(*np.unique(part, return_index=True)):
+        listed[first] = sums[i].tolist()
+    return pa.array(node * keep + part), pa.array(listed, pa.list_(pa.int64())), slot
+
+
+def _leaves(k: int, keep: int, leave: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by([("bytes", "descending"), ("g", "ascending")])
-        size = t.column("bytes").to_numpy()
-        v = np.zeros((len(size), k), np.int64)
-        v[:, 0] = size
-        sums, slot = differencing(v)
-        node = pa.array(np.repeat(t.column("node")[0].as_py(), len(size)))
-        return pa.Table.from_arrays([t.column("g"), node, pa.array(slot[:, 0]), pa.array([sums.tolist()] + [None] * (len(size) - 1), pa.list_(pa.int64()))], ["g", "node", "slot", "sums"])
+        v = np.zeros((len(t), k), np.int64)
+        v[:, 0] = t.column("bytes").to_numpy()
+        parent, sums, slot = _node(v, t.column("node")[0].as_py(), keep, leave)
+        return pa.Table.from_arrays([t.column("g"), parent, pa.array(slot[:, 0]), sums], ["g", "parent", "slot", "sums"])
 
     return run
 
 
-def _inner(k: int):
+def _inner(k: int, keep: int, leave: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by([("child", "ascending")])
         v = t.column("sums").combine_chunks().values.to_numpy().reshape(-1, k)
-        sums, slot = differencing(v)
-        node = pa.array(np.repeat(t.column("node")[0].as_py(), len(v)))
-        return pa.Table.from_arrays([t.column("child"), node, pa.array(slot.tolist(), pa.list_(pa.int64())), pa.array([sums.tolist()] + [None] * (len(v) - 1), pa.list_(pa.int64()))], ["child", "node", "moves", "sums"])
+        parent, sums, slot = _node(v, t.column("node")[0].as_py(), keep, leave)
+        return pa.Table.from_arrays([t.column("child"), parent, pa.array(slot.tolist(), pa.list_(pa.int64())), sums], ["child", "parent", "moves", "sums"])
 
     return run
 
@@ -72,20 +81,23 @@ def _inner(k: int):
 def shard_groups(groups: DataFrame, shards: int = SHARDS, fan: int = FAN) -> DataFrame:
     """(g, shard) of each row (g long, bytes long): a tree of differencing steps over nodes of about ``fan`` inputs.
 
-    A node's result is itself a partial partition, so differencing goes on over the nodes' results, level by level,
-    until one is left: no task sees more than a few times ``fan`` inputs however many groups there are.
+    A node stops at a sixteenth of its inputs. Its results are partial partitions of small spread, on which the next
+    level goes on with those of other nodes, until one node takes all that are left. So no task sees more than a few
+    times ``fan`` inputs however many groups there are, and large groups are evened out by small ones of all nodes.
     """
-    n = groups.count()
-    width = max(1, -(-n // fan))
-    level = cut(groups.withColumn("node", F.pmod(F.xxhash64("g"), F.lit(width))).groupBy("node").applyInArrow(_leaves(shards), "g long, node long, slot long, sums array<long>"))
-    leaves, moves = level.select("g", "node", "slot"), []
+    keep = max(2, fan // 16)
+    width = max(1, -(-groups.count() // fan))
+    leave = keep if width > 1 else 1
+    level = cut(groups.withColumn("node", F.pmod(F.xxhash64("g"), F.lit(width))).groupBy("node").applyInArrow(_leaves(shards, keep, leave), "g long, parent long, slot long, sums array<long>"))
+    leaves, moves = level.select("g", "parent", "slot"), []
     while width > 1:
-        up = max(1, -(-width // fan))
-        level = cut(level.where("sums is not null").select(F.col("node").alias("child"), "sums", F.pmod("node", F.lit(up)).alias("node")).groupBy("node").applyInArrow(_inner(shards), "child long, node long, moves array<long>, sums array<long>"))
-        moves.append(level.select("child", F.col("node").alias("parent"), "moves"))
-        width = up
-    for m in moves:  # where a node's slots went, level by level
-        leaves = leaves.join(m, leaves["node"] == m["child"]).select("g", F.col("parent").alias("node"), F.col("moves")[F.col("slot").cast("int")].alias("slot"))
+        width = max(1, -(-width * keep // fan))
+        leave = keep if width > 1 else 1
+        inputs = level.where("sums is not null").select(F.col("parent").alias("child"), "sums").withColumn("node", F.pmod(F.xxhash64("child"), F.lit(width)))
+        level = cut(inputs.groupBy("node").applyInArrow(_inner(shards, keep, leave), "child long, parent long, moves array<long>, sums array<long>"))
+        moves.append(level.select("child", F.col("parent").alias("up"), "moves"))
+    for m in moves:  # where the slots of partial partitions went, level by level
+        leaves = leaves.join(m, leaves["parent"] == m["child"]).select("g", F.col("up").alias("parent"), F.col("moves")[F.col("slot").cast("int")].alias("slot"))
     return leaves.select("g", F.col("slot").cast("int").alias("shard"))
 
 

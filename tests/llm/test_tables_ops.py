@@ -127,15 +127,18 @@ def test_packing_messy(spark, messy):
 
 
 def test_differencing_by_hand():
-    sums, slot = sharding.differencing(np.array([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]]))
+    sums, part, slot = sharding.differencing(np.array([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]]))
+    sums = sums[0]
     assert abs(sums[0] - sums[1]) == 2 and sums.sum() == 30  # the textbook case
     assert [sum(x for x, s in zip((8, 7, 6, 5, 4), slot[:, 0]) if s == k) for k in (0, 1)] == sums.tolist()
-    assert sharding.differencing(np.array([[5, 0, 0]]))[0].tolist() == [5, 0, 0]
+    assert sharding.differencing(np.array([[5, 0, 0]]))[0].tolist() == [[5, 0, 0]]
+    sums, part, slot = sharding.differencing(np.array([[8, 0], [7, 0], [1, 0], [1, 0]]), leave=3)
+    assert sums.tolist() == [[1, 0], [1, 0], [8, 7]] and part.tolist() == [2, 2, 0, 1] and slot[:, 0].tolist() == [0, 1, 0, 0]
 
 
 def test_sharding_balances_better_than_hashing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    for fan, spread in ((2048, 0.001), (150, 0.01), (20, 0.05)):  # one node, two levels, and three of very small nodes
+    for fan, spread in ((2048, 0.001), (150, 0.02), (32, 0.02)):  # one node, two levels, and three of very small nodes
         rows = sharding.shard(docs, shards=8, fan=fan).collect()
         assert len(rows) == docs.count()
         size = Counter()
