@@ -154,10 +154,17 @@ def transcripts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     return grouped.select("conv", "turns", joined.alias("transcript"))
 
 
-def train(rows: DataFrame, max_labelled: int = MAX_LABELLED) -> Markov:
-    """A model of at most ``max_labelled`` of the (conv, turns, transcript), those with the least hash of conv."""
+def sample(turns: DataFrame, most: int, conv_col: str = "conv_id") -> DataFrame:
+    """The turns of at most ``most`` conversations, those with the least hash of their id. Ids alone are ranked; whole conversations aren't sorted."""
+    conv = q(conv_col)
+    picked = turns.where(conv.isNotNull()).select(conv.alias("__picked")).distinct().orderBy(F.xxhash64("__picked"), "__picked").limit(most)
+    return turns.join(F.broadcast(picked), conv == F.col("__picked"), "left_semi")
+
+
+def train(rows: DataFrame) -> Markov:
+    """A model of the (conv, turns, transcript) given, a bounded sample."""
     feats, states = [], []
-    for r in rows.where(F.size("turns") > 0).orderBy(F.xxhash64("conv"), "conv").limit(max_labelled).toLocalIterator():
+    for r in rows.orderBy("conv").toLocalIterator():
         lines, f = lines_of(r["transcript"] or "")
         s = label(lines, [(t["role"], t["text"]) for t in r["turns"]])
         if s is not None:
@@ -191,10 +198,9 @@ def format_chats(turns: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFram
     """Canonical renderings of all conversations of a table of turns (conv_id, turn, role, text) by way of their raw transcripts.
 
     Turns without conversation id belong to no conversation and are left out. Turns go by number (nulls first), then
-    by role and text, so repeated turns stand side by side; a null role has no marker and is recovered; a null or empty text has no line.
+    by role and text, so repeated turns stand side by side; the model is fitted on at most ``max_labelled`` conversations; a null role has no marker and is recovered; a null or empty text has no line.
     """
-    rows = transcripts(turns)
-    return parse(rows, train(rows, max_labelled))
+    return parse(transcripts(turns), train(transcripts(sample(turns, max_labelled))))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
