@@ -137,7 +137,7 @@ def _exact(vectors: DataFrame, queries: np.ndarray, qid: np.ndarray, k: int) ->
     return {r["q"]: [x["id"] for x in r["near"]] for r in merged.toLocalIterator()}
 
 
-def neighbours(table: DataFrame, k: int = K, target: float = TARGET, calibration: int = 256, block_rows: int = 8192, query_rows: int = 100_000, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 1) -> DataFrame:
+def neighbours(table: DataFrame, k: int = K, target: float = TARGET, calibration: int = 256, block_rows: int = 8192, query_rows: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 1) -> DataFrame:
     """(vec_id, neighbours, distances) for every row with an id: its ``k`` nearest other rows by Euclidean distance.
 
     Vectors go to about sqrt(n) lists (k-means: started from a sample, fitted over all vectors). For ``calibration``
