@@ -64,6 +64,7 @@ def _times(k: int, table: list[Point]) -> Point:
 
 
 _BASES: list[list[Point]] = []
+_OWN: dict[bytes, tuple[int, bytes, bytes]] = {}
 _KEYS: dict[bytes, list[Point] | None] = {}
 
 
@@ -112,8 +113,10 @@ def public_key(seed: bytes) -> bytes:
 
 
 def sign(seed: bytes, message: bytes) -> str:
-    a, nonce = _expand(seed)
-    key = _pack(_base_times(a))
+    if seed not in _OWN:
+        a, nonce = _expand(seed)
+        _OWN[seed] = a, nonce, _pack(_base_times(a))
+    a, nonce, key = _OWN[seed]
     r = _hash(nonce, message)
     point = _pack(_base_times(r))
     s = (r + _hash(point, key, message) * a) % _L

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ed25519
-from palimpsest.functions.digest import DIGESTS
+from palimpsest.functions.digest import DIGESTS, blake3_finish, blake3_heads
 from palimpsest.functions.records import CHECKPOINT, LEDGER
 from palimpsest.shared import cut
 
@@ -44,10 +44,15 @@ def append(batch: DataFrame, seed: bytes, *, after: tuple[int, str] | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, prev = after or (0, None)
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                link = link_text(r["payload_json"], prev)
-                raw = DIGESTS[digest]([link])[0]
+            rows, out = b.to_pylist(), []
+            payloads = [r["payload_json"].encode() for r in rows]
+            # What of a hash doesn't depend on the row before is worked out for the whole batch at once.
+            heads = blake3_heads(payloads) if digest == "blake3" else []
+            for i, r in enumerate(rows):
+                if heads and prev:
+                    raw = blake3_finish(heads[i], payloads[i][1024 * len(heads[i]) :] + prev.encode())
+                else:
+                    raw = DIGESTS[digest]([link_text(r["payload_json"], prev)])[0]
                 seq += 1
                 entry = f"{digest}:{raw.hex()}"
                 out.append((seq, r["record_id"], r["kind"], r["namespace"], r["payload_json"], entry, prev, ed25519.sign(seed, raw), kid, r["created_at"]))

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import ed25519, records
 from palimpsest.functions import text as tx
+from palimpsest.operators import chain, graph
 from palimpsest.operators import detectors as det
-from palimpsest.operators import graph
 from palimpsest.plans import forensics as fx
 from palimpsest.plans import similarity as sim
 from palimpsest.sources import calls, fixture
+from palimpsest.shared import cut
 from palimpsest.sources.tables import read
 
 TOPIC, DRIFT_NEAR, DRIFT_FAR = "that this for with thing", 0.3, 0.6
@@ -430,3 +432,83 @@ def adapter_mem0_map(spark: SparkSession, sf: str) -> DataFrame:
 def adapter_chroma_map(spark: SparkSession, sf: str) -> DataFrame:
     """Calls of a vector store with lists of lists, mapped to writes and retrievals."""
     return calls.mapped(calls.chroma_log(spark, sf), calls.CHROMA).select("kind", "content", "memory_id", "query", F.when(F.col("kind") == "retrieval", F.array_join("returned", "|")).alias("returned"))
+
+
+_CALLS_LETTA = "SELECT 'write' AS kind, text AS content, 'p' || doc_id AS memory_id, NULL::VARCHAR AS query, NULL::VARCHAR AS returned FROM documents UNION ALL SELECT 'retrieval', NULL, NULL, text, 'p' || turn || '|p' || conv_id FROM conversations WHERE role = 'user'"
+
+
+@query(_CALLS_LETTA)
+def adapter_letta_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of an archival memory, mapped to writes and retrievals."""
+    return calls.mapped(calls.letta_log(spark, sf), calls.LETTA).select("kind", "content", "memory_id", "query", F.when(F.col("kind") == "retrieval", F.array_join("returned", "|")).alias("returned"))
+
+
+@query(fixture.EDGES + _BACK.format(depth=99) + "\nSELECT src, dst, edge_type FROM edges WHERE src IN (SELECT node FROM c) AND dst IN (SELECT node FROM c)")
+def trace_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges among an action and its ancestors, as drawn in a report."""
+    ledger, edges = _edges(spark, sf)
+    start = _first_action(ledger)
+    return graph.induced(edges, fx.ancestors(edges, start).unionByName(start).distinct()).select("src", "dst", "edge_type")
+
+
+@query(fixture.ROLLED + "\nSELECT src, dst, edge_type FROM edges2 WHERE edge_type = 'ROLLED_BACK_BY'")
+def rollback_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges that an applied rollback adds."""
+    return _rolled(spark, sf)[1].where("edge_type = 'ROLLED_BACK_BY'")
+
+
+@query(_W + "\nSELECT record_id, 'trust_score' AS rule FROM ws WHERE (trust_score + CASE WHEN seq % 10 = 1 THEN 0.5 ELSE 0 END) > 1 UNION ALL SELECT record_id, 'trust_level' FROM ws WHERE seq % 50 = 1 UNION ALL SELECT record_id, 'content_size' FROM ws WHERE octet_length(encode(content)) > 8000")
+def invariant_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes that break an invariant, on a copy of the ledger with some scores and levels spoiled."""
+    w = det.writes(fixture.ledger(spark, sf))
+    spoiled = w.withColumn("trust_score", F.col("trust_score") + F.when(F.col("seq") % 10 == 1, 0.5).otherwise(0.0)).withColumn("trust_level", F.when(F.col("seq") % 50 == 1, F.lit("none")).otherwise(F.col("trust_level")))
+    return records.violations(spoiled, max_content=8000)
+
+
+_SEED = bytes(range(32))
+
+
+def _chain(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as a signed chain."""
+    d = read(spark, sf, "documents")
+    payload = F.to_json(F.struct(F.lit("write").alias("kind"), F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("record_id"), F.col("lang").alias("namespace"), F.col("text").alias("content"), F.struct(F.col("source").alias("source_id")).alias("source")))
+    batch = d.select(F.col("doc_id").alias("order"), F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("record_id"), F.lit("write").alias("kind"), F.col("lang").alias("namespace"), payload.alias("payload_json"), F.lit("2024-01-01T00:00:00+00:00").alias("created_at"))
+    return cut(chain.append(batch, _SEED))
+
+
+@query("SELECT true AS ok, count(*) AS rows_checked FROM documents")
+def chain_verified(spark: SparkSession, sf: str) -> DataFrame:
+    """A signed BLAKE3 chain over all documents, built and verified."""
+    return chain.verify_chain(_chain(spark, sf), ed25519.public_key(_SEED)).select("ok", "rows_checked")
+
+
+@query("SELECT * FROM (VALUES ('edited', false, 4, 5, 'edit'), ('removed', false, 6, 8, 'gap'), ('other key', false, 0, 1, 'forgery')) t(tampering, ok, rows_checked, seq, kind)")
+def chain_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """The first divergence of three tampered copies."""
+    rows, key = _chain(spark, sf), ed25519.public_key(_SEED)
+    cases = {"edited": (rows.withColumn("payload_json", F.when(F.col("seq") == 5, F.lit("{}")).otherwise(F.col("payload_json"))), key), "removed": (rows.where("seq <> 7"), key), "other key": (rows, ed25519.public_key(bytes(32)))}
+    out = None
+    for name, (ledger, k) in cases.items():
+        r = chain.verify_chain(ledger, k).select(F.lit(name).alias("tampering"), "ok", "rows_checked", "seq", "kind")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("SELECT 'whole' AS state, true AS ok, count(*) AS leaf_count, 'ok' AS detail FROM documents UNION ALL SELECT 'cut short', false, count(*), 'ledger has ' || (count(*) - 3) || ' rows but checkpoint committed ' || count(*) FROM documents UNION ALL SELECT 'changed', false, count(*), 'recomputed root does not match signed checkpoint' FROM documents")
+def merkle_verified(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest checkpoint against the whole ledger, one without its last rows and one with a changed hash."""
+    rows, key = _chain(spark, sf), ed25519.public_key(_SEED)
+    point = chain.checkpoint(rows, _SEED, 1, "2024-01-01T00:00:00+00:00")
+    n = rows.count()
+    cases = {"whole": rows, "cut short": rows.where(F.col("seq") <= n - 3), "changed": rows.withColumn("entry_hash", F.when(F.col("seq") == 2, F.lit("blake3:00")).otherwise(F.col("entry_hash")))}
+    out = None
+    for name, ledger in cases.items():
+        r = chain.verify_merkle(ledger, point, key).select(F.lit(name).alias("state"), "ok", "leaf_count", "detail")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("SELECT 'w' || doc_id AS record_id, lang AS namespace, source AS source_id, text AS content FROM documents")
+def payload_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of the stored payloads."""
+    return records.parse(_chain(spark, sf)).select("record_id", "namespace", "source_id", "content")

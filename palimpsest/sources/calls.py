@@ -177,3 +177,11 @@ def chroma_log(spark: SparkSession, sf: str) -> DataFrame:
     adds = _log(d, "add", F.lit("[]"), F.to_json(F.expr("named_struct('documents', array(text, lang), 'ids', array('c' || doc_id, 'd' || doc_id))")), F.lit(_NONE))
     asks = _log(c, "query", F.lit("[]"), F.to_json(F.expr("named_struct('query_texts', array(text))")), F.to_json(F.expr("named_struct('ids', array(array('c' || turn, 'c' || conv_id)), 'distances', array(array(0.1D, 0.2D)))")))
     return adds.unionByName(asks)
+
+
+def letta_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of an archival memory's calls made of the test tables."""
+    d, c = read(spark, sf, "documents"), read(spark, sf, "conversations").where("role = 'user'")
+    adds = _log(d, "insert_archival_memory", F.to_json(F.array(F.lit("agent"), F.col("text"))), F.lit(_NONE), F.to_json(F.expr("array(named_struct('id', 'p' || doc_id))")))
+    asks = _log(c, "search_archival_memory", F.to_json(F.array(F.lit("agent"))), F.to_json(F.struct(F.col("text").alias("query"))), F.to_json(F.expr("array(named_struct('id', 'p' || turn), named_struct('id', 'p' || conv_id))")))
+    return adds.unionByName(asks)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ed25519
-from palimpsest.functions.digest import DIGESTS, blake3_many, digest_udf, labelled
+from palimpsest.functions.digest import DIGESTS, blake3_finish, blake3_heads, blake3_many, digest_udf, labelled
 from palimpsest.functions.records import CHECKPOINT, canonical, parse, uuid7, violations, write_record
 from palimpsest.operators import chain
 
@@ -27,6 +27,17 @@ def test_blake3_vectors():
     assert labelled("blake3", [b"The capital of France is Paris."]) == ["blake3:b47501560477d97bfbaab27a3d82f39fa46f96d74a621440d990b01cc201a582"]
 
 
+def test_blake3_in_parts():
+    data = lambda n: bytes(i % 251 for i in range(n))
+    sizes = [0, 1, 64, 65, 1023, 1024, 1025, 2048, 3073, 5000]
+    whole = blake3_many([data(n) for n in sizes])
+    assert [blake3_finish([], data(n)) for n in sizes] == whole == [blake3_many([data(n)])[0] for n in sizes]
+    heads = blake3_heads([data(n) for n in sizes])
+    for n, h in zip(sizes, heads):
+        tail = data(n)[1024 * len(h) :] + b"more"
+        assert blake3_finish(h, tail) == blake3_many([data(n) + b"more"])[0]
+
+
 def test_digest_column_keeps_nulls(spark):
     got = [r[0] for r in spark.createDataFrame([("",), (None,)], "x string").select(digest_udf()(F.col("x"))).collect()]
     assert got == ["blake3:af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262", None]
