@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 256
 STOP = ("the", "a", "an", "of", "is", "are", "to", "in", "on", "and", "or", "it", "its", "was")
+_STOPS = frozenset(STOP)
 #: White space as \s means it in Python for ASCII, spelled out since engines differ.
 _S = r"[ \t\n\r\f\x0B\x1C-\x1F]"
 _PRIOR, _SECRET = "(?:previous|prior|above)", "(?:password|secret|credential)s?"
@@ -31,20 +37,62 @@ SECRETS = {"aws_access_key": r"\bAKIA[0-9A-Z]{16}\b", "github_token": r"\bgh[ops
 PII = {"email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "us_ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"}
 
 
-def tokens(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.filter(found, lambda t: ~t.isin(*STOP))
+_TOKEN = re.compile("[a-z0-9]+")
+_buckets: dict[str, int] = {}
+
+
+def bucket(token: str) -> int:
+    """The first four bytes of the token's SHA-256, modulo the dimension; kept for tokens that were met before."""
+    at = _buckets.get(token)
+    if at is None:
+        at = int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big") % DIM
+        if len(_buckets) < 1_000_000:
+            _buckets[token] = at
+    return at
+
+
+def cells_of(text: str | None) -> dict[int, int]:
+    """Bucket -> number of tokens of a text."""
+    out: dict[int, int] = {}
+    for t in _TOKEN.findall((text or "").lower()):
+        if t not in _STOPS:
+            b = bucket(t)
+            out[b] = out.get(b, 0) + 1
+    return out
+
+
+@cache
+def _cells_udf():
+    @F.arrow_udf("array<struct<bucket:bigint,n:bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        buckets: list[int] = []
+        counts: list[int] = []
+        at = [0]
+        for t in texts:
+            cells = cells_of(t.as_py())
+            for b in sorted(cells):
+                buckets.append(b)
+                counts.append(cells[b])
+            at.append(len(buckets))
+        pair = pa.StructArray.from_arrays([pa.array(buckets, pa.int64()), pa.array(counts, pa.int64())], ["bucket", "n"])
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pair)
+
+    # Else a filter on the result is pushed below it and the text is gone through twice.
+    return run.asNondeterministic()
+
+
+def cells(text: Column) -> Column:
+    """Array of (bucket, n) in order of bucket: the sparse vector of a text. It is worked out within its row, so nothing is shuffled."""
+    return _cells_udf()(text)
 
 
-def bucket(token: Column) -> Column:
-    """The first four bytes of the token's SHA-256, modulo the dimension. The digest is native, so this stays in generated code."""
-    return F.conv(F.substring(F.sha2(token.cast("binary"), 256), 1, 8), 16, 10).cast("long") % DIM
+def norm(cells: Column) -> Column:
+    return F.sqrt(F.aggregate(cells, F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"]).cast("double"))
 
 
 def sparse(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, bucket, n): how many tokens of each row fall in each bucket. Rows without tokens have none."""
-    words = rows.select(*keys, F.explode(tokens(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
-    return words.groupBy(*keys, bucket(F.col("token")).alias("bucket")).agg(F.sum("n").alias("n"))
+    return rows.select(*keys, F.explode(cells(F.col(text))).alias("c")).select(*keys, "c.bucket", "c.n")
 
 
 def injection_matches(text: Column) -> Column:

@@ -63,6 +63,11 @@ def append(batch: DataFrame, seed: bytes, *, after: tuple[int, str] | None = Non
     return batch.repartition(1).sortWithinPartitions("order").select("record_id", "kind", "namespace", "payload_json", "created_at").mapInArrow(run, LEDGER)
 
 
+def _ranges(ledger: DataFrame, rows_a_task: int = 100_000) -> int:
+    """How many ranges of seq to check in parallel. Hashing and signatures cost far more than bytes tell, so the number is given and not left to coalescing by size."""
+    return max(ledger.sparkSession.sparkContext.defaultParallelism, -(-ledger.count() // rows_a_task))
+
+
 def verify_chain(ledger: DataFrame, public: bytes | None, digest: str = "blake3") -> DataFrame:
     """One row (ok, rows_checked, seq, record_id, kind, detail): the first divergence, if there is one.
 
@@ -94,7 +99,7 @@ def verify_chain(ledger: DataFrame, public: bytes | None, digest: str = "blake3"
             yield pa.RecordBatch.from_pylist([first | {"last": last, "n": n, "bad_at": bad[0], "bad_seq": bad[1], "bad_id": bad[2], "bad_kind": bad[3]}], schema=pa.schema([("seq", pa.int64()), ("record_id", pa.string()), ("prev", pa.string()), ("edit", pa.bool_()), ("forged", pa.bool_()), ("last", pa.string()), ("n", pa.int64()), ("bad_at", pa.int64()), ("bad_seq", pa.int64()), ("bad_id", pa.string()), ("bad_kind", pa.string())]))
 
     spark = ledger.sparkSession
-    parts = ledger.select("seq", "record_id", "payload_json", "entry_hash", "prev_hash", "signature").repartitionByRange("seq").sortWithinPartitions("seq")
+    parts = ledger.select("seq", "record_id", "payload_json", "entry_hash", "prev_hash", "signature").repartitionByRange(_ranges(ledger), "seq").sortWithinPartitions("seq")
     edges = parts.mapInArrow(run, "seq long, record_id string, prev string, edit boolean, forged boolean, last string, n long, bad_at long, bad_seq long, bad_id string, bad_kind string").collect()
     before, rows = None, 0
     for e in sorted(edges, key=lambda r: r["seq"]):  # one row a task

@@ -107,22 +107,14 @@ def trust_scoring(w: DataFrame, penalty: float = 0.25, recovery: float = 0.1) ->
     return _findings(hit, "trust_scoring", severity, "anomalous write lowers the trust in its source", {"source_id": F.col("source_id"), "prior": F.round("prior", 6), "posterior": F.round("posterior", 6)})
 
 
-def vectors(rows: DataFrame) -> DataFrame:
-    """(record_id, buckets, weights): unit vectors of contents; rows without tokens have none."""
-    s = tx.sparse(rows, ["record_id"], "content")
-    packed = s.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("e"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"]).cast("double"))
-    return packed.select("record_id", F.col("e.bucket").alias("buckets"), F.transform("e.n", lambda n: n / norm).alias("weights"))
-
-
 def drift_scores(w: DataFrame, near: float = 0.5, block: int = 2048) -> DataFrame:
     """(record_id, source_id, similarity) of suspect writes that have earlier trusted neighbours in their namespace: cosine with the neighbours' centroid.
 
     Suspect and trusted writes of a namespace meet in pairs of blocks; a task multiplies two blocks as dense matrices
     and returns the sum of each suspect's neighbours there, so sums and not pairs are shuffled.
     """
-    v = w.where(F.col("trust_level").isin(*TRUSTED, *SUSPECT)).select("record_id", "source_id", "namespace", "seq", "trust_level", "content")
-    rows = v.join(vectors(v), "record_id").select("record_id", "source_id", "namespace", "seq", "buckets", "weights", F.col("trust_level").isin(*TRUSTED).alias("trusted"), F.expr(f"seq div {block}").alias("b"))
+    cells = w.where(F.col("trust_level").isin(*TRUSTED, *SUSPECT)).select("record_id", "source_id", "namespace", "seq", F.col("trust_level").isin(*TRUSTED).alias("trusted"), F.expr(f"seq div {block}").alias("b"), tx.cells(F.col("content")).alias("e"))
+    rows = cells.where(F.size("e") > 0).withColumn("size", tx.norm(F.col("e"))).select("record_id", "source_id", "namespace", "seq", "trusted", "b", F.col("e.bucket").alias("buckets"), F.transform("e.n", lambda n: n / F.col("size")).alias("weights"))
     rows = cut(rows)
     again = rows.select(*[F.col(c).alias(c) for c in rows.columns])
     blocks = rows.select("namespace", "trusted", "b").distinct()

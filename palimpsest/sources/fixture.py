@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shared import spread
 from palimpsest.sources.tables import read
 
 SOURCE_TYPES = ("user_input", "tool_output", "document_ingest", "rag_retrieval", "web_fetch", "file_read", "agent_self", "inter_agent", "system_seed")
@@ -44,13 +45,14 @@ _RID = "conv_id || '-' || turn"
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parsed ledger rows without the rollback."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    n = docs.agg(F.count("*").alias("n"))
+    docs = spread(docs)
     conv, bench = read(spark, sf_dir, "conversations"), read(spark, sf_dir, "benchmark")
     made = lambda cols: [F.expr(e).alias(c) for c, e in cols.items()]
     at = lambda day, minutes: f"date_format(timestampadd(MINUTE, cast({minutes} as int), timestamp'{day}'), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
     writes = docs.join(labels, "doc_id", "left").select(
         *made(WRITE), F.expr(f"filter(array({_PARENT}, {_GHOST}), x -> x is not null)").alias("derived_from"), F.expr(at("2024-01-01", "doc_id")).alias("created_at")
     )
-    n = docs.agg(F.count("*").alias("n"))
     turns = conv.crossJoin(F.broadcast(n)).withColumn("created_at", F.expr(at("2030-01-01", "conv_id * 10 + turn")))
     reads = turns.where("role = 'user'").select(
         *made(_TURN), F.expr(f"'r' || {_RID}").alias("record_id"), F.lit("retrieval").alias("kind"), F.col("text").alias("query"), F.expr(f"array({_HITS[0]}, {_HITS[1]})").alias("returned"), F.expr("array(0.9D, 0.5D)").alias("scores"), "created_at"

@@ -78,18 +78,14 @@ def drift(writes: DataFrame, near: float = 0.5, contradiction: float = 0.8) -> D
     """
     import numpy as np
 
-    from palimpsest.functions.text import DIM, STOP
+    from palimpsest.functions.text import DIM, cells_of
 
     def embed(text: str) -> np.ndarray:
-        import hashlib
-        import re
-
         v = np.zeros(DIM)
-        for t in re.findall("[a-z0-9]+", (text or "").lower()):
-            if t not in STOP:
-                v[int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "big") % DIM] += 1
-        n = np.sqrt(v @ v)
-        return v / n if n else v
+        for at, n in cells_of(text).items():
+            v[at] = n
+        size = np.sqrt(v @ v)
+        return v / size if size else v
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = np.frombuffer(state.get[0]).reshape(-1, DIM) if state.exists else np.zeros((0, DIM))
