@@ -52,35 +52,34 @@ def _table(p: Point) -> list[Point]:
     return out
 
 
-def _times(k: int, table: list[Point]) -> Point:
-    """k times the point of the table, four bits at a time."""
+def _rows(p: Point) -> list[list[Point]]:
+    """Multiples of a point for each place of four bits, so that a product takes 64 additions and no doubling."""
+    out = []
+    for _ in range(64):
+        out.append(_table(p))
+        p = _double(_double(_double(_double(p))))
+    return out
+
+
+def _times(k: int, rows: list[list[Point]]) -> Point:
     out = _ZERO
-    for shift in range((max(k.bit_length(), 1) + 3) // 4 * 4 - 4, -1, -4):
-        out = _double(_double(_double(_double(out))))
-        digit = (k >> shift) & 15
-        if digit:
-            out = _add(out, table[digit])
+    for row in rows:
+        if k & 15:
+            out = _add(out, row[k & 15])
+        k >>= 4
     return out
 
 
 _BASES: list[list[Point]] = []
 _OWN: dict[bytes, tuple[int, bytes, bytes]] = {}
-_KEYS: dict[bytes, list[Point] | None] = {}
+#: A ledger has few keys, so their multiples are kept as well.
+_KEYS: dict[bytes, list[list[Point]] | None] = {}
 
 
 def _base_times(k: int) -> Point:
-    """k times the base point from multiples kept for each place of four bits."""
     if not _BASES:
-        p = _BASE
-        for _ in range(64):
-            _BASES.append(_table(p))
-            p = _double(_double(_double(_double(p))))
-    out = _ZERO
-    for row in _BASES:
-        if k & 15:
-            out = _add(out, row[k & 15])
-        k >>= 4
-    return out
+        _BASES.extend(_rows(_BASE))
+    return _times(k, _BASES)
 
 
 def _pack(p: Point) -> bytes:
@@ -128,7 +127,7 @@ def verify(key: bytes, message: bytes, signature: str | None) -> bool:
     if not signature or not signature.startswith(PREFIX):
         return False
     try:
-        raw = bytes.fromhex(signature[len(PREFIX) :])
+        raw = bytes.fromhex(signature.removeprefix(PREFIX))
     except ValueError:
         return False
     if len(raw) != 64 or len(key) != 32:
@@ -136,7 +135,7 @@ def verify(key: bytes, message: bytes, signature: str | None) -> bool:
     s = int.from_bytes(raw[32:], "little")
     if key not in _KEYS:
         p = _unpack(key)
-        _KEYS[key] = None if p is None else _table((_P - p[0], p[1], p[2], _P - p[3]))
+        _KEYS[key] = None if p is None else _rows((_P - p[0], p[1], p[2], _P - p[3]))
     minus = _KEYS[key]
     if s >= _L or minus is None:
         return False

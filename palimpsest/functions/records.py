@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.digest import digest_udf, labelled
 
 #: Set by the ledger, so not part of what is hashed.
-LEDGER_SET = frozenset({"entry_hash", "prev_hash", "signature", "signer_kid", "merkle_leaf"})
+LEDGER_SET = frozenset("entry_hash merkle_leaf prev_hash signature signer_kid".split())
 ENUMS = {
     "source_type": ("user_input", "tool_output", "document_ingest", "rag_retrieval", "web_fetch", "file_read", "agent_self", "inter_agent", "system_seed"),
     "trust_level": ("system", "trusted", "semi_trusted", "untrusted", "quarantined"),
@@ -32,7 +32,7 @@ PAYLOAD = (
     " retrieval_id string, query string, query_hash string, returned array<string>, scores array<double>, session_id string, turn_id string,"
     " action_id string, action_kind string, summary string, context_retrievals array<string>, rollback_id string, reason string, `to` string, scope string, affected array<string>, applied_at string"
 )
-ID_FIELD = {"write": "record_id", "retrieval": "retrieval_id", "action": "action_id", "rollback": "rollback_id"}
+ID_FIELD = {k: ("record" if k == "write" else k) + "_id" for k in ENUMS["kind"]}
 MAX_CONTENT = 5 << 20
 
 

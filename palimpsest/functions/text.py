@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 256
-STOP = ("the", "a", "an", "of", "is", "are", "to", "in", "on", "and", "or", "it", "its", "was")
+STOP = tuple("a an and are in is it its of on or the to was".split())
 _STOPS = frozenset(STOP)
 #: White space as \s means it in Python for ASCII, spelled out since engines differ.
 _S = r"[ \t\n\r\f\x0B\x1C-\x1F]"

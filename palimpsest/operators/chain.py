@@ -19,7 +19,7 @@ BLOCK = 4096
 _REPORT = "ok boolean, rows_checked long, seq long, record_id string, kind string, detail string"
 _DETAIL = {
     "edit": "recomputed entry_hash does not match stored entry_hash",
-    "gap": "prev_hash does not link to the previous row (row removed or reordered)",
+    "gap": "prev_hash is not the entry_hash of the row before it: a row was removed or moved",
     "forgery": "signature does not verify against the trusted key",
 }
 
@@ -132,7 +132,7 @@ def compute_root(leaves: list[bytes], digest: str = "blake3") -> bytes:
 
 def inclusion_proof(leaves: list[bytes], index: int, digest: str = "blake3") -> list[tuple[bytes, bool]]:
     """(sibling, whether it is on the left) from the leaf up."""
-    if not 0 <= index < len(leaves):
+    if index < 0 or index >= len(leaves):
         raise IndexError(index)
     level, out = DIGESTS[digest]([leaf(x) for x in leaves]), []
     while len(level) > 1:

@@ -11,7 +11,8 @@ from palimpsest.shared import cut
 
 #: Array column of a ledger row -> type of the edges from its members to the row.
 LINKS = {"derived_from": "DERIVED_FROM", "caused_by_retrieval": "CONTEXTUALIZED", "returned": "RETRIEVED", "context_retrievals": "CONTRIBUTED_TO", "affected": "ROLLED_BACK_BY"}
-EDGE_TYPES = ("DERIVED_FROM", "RETRIEVED", "INFLUENCED", "CONTEXTUALIZED", "CONTRIBUTED_TO", "ROLLED_BACK_BY")
+#: No row makes INFLUENCED edges; they are added explicitly.
+EDGE_TYPES = (*LINKS.values(), "INFLUENCED")
 
 
 class UnknownNode(ValueError):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.graph import reach
 
-RANK = {"quarantined": 0, "untrusted": 1, "semi_trusted": 2, "trusted": 3, "system": 4}
+#: Most suspect first.
+RANK = {level: i for i, level in enumerate("quarantined untrusted semi_trusted trusted system".split())}
 
 
 def selects(selector: str) -> Column:

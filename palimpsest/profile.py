@@ -21,7 +21,7 @@ from palimpsest.shared import ship
 
 
 def now() -> str:
-    return datetime.datetime.now(datetime.UTC).isoformat().replace("+00:00", "Z")
+    return f"{datetime.datetime.now(datetime.UTC).replace(tzinfo=None).isoformat()}Z"
 
 
 class Profile:

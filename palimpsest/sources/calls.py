@@ -137,7 +137,7 @@ def searches(rows: DataFrame, query: str, returned: str, scores: str) -> DataFra
     return rows.select(F.lit("retrieval").alias("kind"), F.col(query).alias("query"), F.col(returned).cast("array<string>").alias("returned"), F.col(scores).cast("array<double>").alias("scores"))
 
 
-WATCHED = ("MEMORY.md", "CLAUDE.md", "AGENTS.md")
+WATCHED = tuple(f"{name}.md" for name in ("AGENTS", "CLAUDE", "MEMORY"))
 
 
 def scan_files(spark: SparkSession, root: str, snapshot: DataFrame | None = None, max_bytes: int = 5 << 20) -> tuple[DataFrame, DataFrame]:
