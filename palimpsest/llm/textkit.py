@@ -64,7 +64,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0], null
 
 
-def pieces(offsets: np.ndarray, most_bytes: int = 1 << 20, most_docs: int = 4000) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most_bytes: int = 1 << 18, most_docs: int = 4000) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of documents that are worked on together: bounded in bytes unless one document alone is longer."""
     i, n = 0, len(offsets) - 1
     while i < n:
