@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from palimpsest.llm.mixing import tokens_of
 from palimpsest.llm.tables import HIDDEN, first_row_order, q, read
 from palimpsest.shared import cut
 
-CAPACITY, BLOCK, NODES = 2048, 2048, 4000
+CAPACITY, BLOCK, NODES = 2048, 2048, 60_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -43,85 +44,108 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def fillings(sizes: list[int], count: Counter, room: int, most_waste: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
-    """Undominated subsets of the remaining pieces that leave at most ``most_waste`` of ``room``.
+    """Undominated subsets of the remaining pieces that leave at most ``most_waste`` of ``room``, those of least waste first.
 
-    ``sizes``: the distinct sizes, largest first. A filling is dominated if a piece left out could replace a smaller
-    piece in it, or two pieces that sum to at most the piece left out, without overfilling.
+    ``sizes``: the distinct sizes, in the order to try them. A filling is dominated if a piece left out could replace a smaller
+    piece in it, or two pieces that sum to at most the piece left out, without overfilling. Bit sets of the sums that
+    the sizes from each on can reach keep the walk to prefixes that some filling of the wanted sum has. ``count`` must
+    be as it was whenever the next filling is asked for.
     """
+    reach, within = [1] * (len(sizes) + 1), (1 << (room + 1)) - 1
+    for k in range(len(sizes) - 1, -1, -1):
+        sums, copies, n = reach[k + 1], min(count[sizes[k]], room // sizes[k]), 1
+        while copies:
+            n = min(n, copies)
+            sums |= sums << (n * sizes[k])
+            copies -= n
+            n *= 2
+        reach[k] = sums & within
+    there = sum(1 << s for s in sizes if count[s])
     chosen: list[int] = []
 
     def undominated(left: int) -> bool:
-        parts = Counter(chosen)
+        out = there
+        for s, n in Counter(chosen).items():
+            if count[s] <= n:
+                out &= ~(1 << s)
+        if out & ((2 << left) - 1):
+            return False  # a piece would fit beside them
         sums = {a for a in chosen} | {a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :]}
-        for out in sizes:
-            if count[out] <= parts[out]:
-                continue
-            if out <= left:
-                return False  # it would fit beside them
-            if any(total < out <= total + left or (total == out and out not in parts) for total in sums):
-                return False  # it takes the place of one or two smaller ones
-        return True
-
-    def walk(i: int, left: int) -> Iterator[tuple[int, ...]]:
+        # A piece left out takes the place of one or two smaller ones.
+        return not any((out >> (t + 1)) & ((1 << left) - 1) or ((out >> t) & 1 and t not in chosen) for t in sums)
+
+    def walk(i: int, need: int, waste: int) -> Iterator[tuple[int, ...]]:
         budget[0] -= 1
         if budget[0] < 0:
             return
+        if not need:
+            if undominated(waste):
+                yield tuple(chosen)
+            return
         for k in range(i, len(sizes)):
-            s = sizes[k]
-            if s <= left and count[s] > chosen.count(s):
-                chosen.append(s)
-                yield from walk(k, left - s)
-                chosen.pop()
-        if left <= most_waste and undominated(left):
-            yield tuple(chosen)
-
-    yield from walk(0, room)
-
-
-def branch(sizes: list[int], capacity: int, bins: int, budget: list[int]) -> list[list[int]] | None:
-    """``sizes`` in at most ``bins`` bins, or None. Each step fills a bin around the largest piece left; the waste that is still allowed prunes."""
-    count, done = Counter(sizes), []
-
-    def step(left: int, spare: int) -> bool:
-        if not left:
-            return True
-        kinds = sorted((s for s, c in count.items() if c), reverse=True)
-        big = kinds[0]
-        room = capacity - big
-        count[big] -= 1
-        ways = fillings([s for s in kinds if count[s] and s <= room], count, room, min(spare, room), budget)
-        for way in sorted(ways, key=lambda w: (-sum(w), len(w))):
+            if not (reach[k] >> need) & 1:
+                return
+            for n in range(min(count[sizes[k]], need // sizes[k]), 0, -1):
+                rest = need - n * sizes[k]
+                if (reach[k + 1] >> rest) & 1:
+                    chosen.extend([sizes[k]] * n)
+                    yield from walk(k + 1, rest, waste)
+                    del chosen[-n:]
+
+    for waste in range(min(most_waste, room) + 1):
+        if (reach[0] >> (room - waste)) & 1:
+            yield from walk(0, room - waste, waste)
+
+
+def branch(sizes: list[int], capacity: int, bins: int, budget: list[int], rng: random.Random) -> list[list[int]] | None:
+    """``sizes`` in at most ``bins`` bins, or None. Each step fills a bin around the largest piece left; the waste that is still allowed prunes.
+
+    Sizes are tried in random order: largest or smallest first would leave only middling pieces to the end, which fit badly.
+    """
+    count, kinds, done = Counter(sizes), sorted(set(sizes), reverse=True), []
+    left, spare = len(sizes), bins * capacity - sum(sizes)
+    if spare < 0:
+        return None
+    steps: list[tuple[int, int, Iterator[tuple[int, ...]]]] = []  # the largest piece, the waste allowed, the ways to fill its bin
+    while left and budget[0] >= 0:
+        if len(steps) == len(done):
+            big = next(s for s in kinds if count[s])
+            count[big] -= 1
+            room = capacity - big
+            fit = [s for s in kinds if count[s] and s <= room]
+            steps.append((big, spare, fillings(rng.sample(fit, len(fit)), count, room, min(spare, room), budget)))
+        big, spare, ways = steps[-1]
+        way = next(ways, None)
+        if way is not None:
             count.subtract(way)
             done.append([big, *way])
-            if step(left - 1 - len(way), spare - room + sum(way)):
-                return True
-            done.pop()
-            count.update(way)
-            budget[0] -= 1
-            if budget[0] <= 0:
-                break
+            left -= 1 + len(way)
+            spare -= capacity - big - sum(way)
+            continue
+        steps.pop()
         count[big] += 1
-        return False
-
-    spare = bins * capacity - sum(sizes)
-    return done if spare >= 0 and step(len(sizes), spare) else None
+        if not steps:
+            return None
+        last = done.pop()  # another way for the bin before
+        count.update(last[1:])
+        left += len(last)
+    return None if left else done
 
 
-def complete(sizes: list[int], capacity: int, nodes: int = NODES, window: int = 40) -> list[list[int]]:
-    """Bins of ``sizes``: best fit decreasing is the incumbent, bin completion looks for solutions with one bin less.
+def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+    """Bins of ``sizes``: best fit decreasing is the incumbent, bin completion looks for solutions with one bin less or fewer.
 
-    The search ends at the lower bound (all tokens over the capacity), when it has proved that there is no better
-    solution, or after ``nodes`` steps, which limit the effort spent on improving and not what is packed. Full bins
-    lend no waste, so the search is over the ``window`` least filled bins; up to that many it is over all.
+    The search is over all bins. It ends at the lower bound (all tokens over the capacity), when it has proved that
+    there is no better solution, or after ``nodes`` steps, which limit the effort spent on improving and not what is
+    packed. A solution found may save many bins at once, as each bin is filled with the least waste first.
     """
     best = best_fit(sorted(sizes, reverse=True), capacity)
-    bound, budget = -(-sum(sizes) // capacity), [nodes]
+    bound, budget, rng = -(-sum(sizes) // capacity), [nodes], random.Random(1)
     while len(best) > bound and budget[0] > 0:
-        best.sort(key=sum)
-        found = branch([s for b in best[:window] for s in b], capacity, min(window, len(best)) - 1, budget)
+        found = branch(sizes, capacity, len(best) - 1, budget, rng)
         if found is None:
             break
-        best = found + best[window:]
+        best = found
     return best
 
 

@@ -93,6 +93,16 @@ def test_bin_completion_beats_best_fit():
         assert len(packing.complete(sizes, 1000, 200_000)) == 8 < len(packing.best_fit(sorted(sizes, reverse=True), 1000))
 
 
+@pytest.mark.parametrize("least,most,saved", [(300, 1200, 7), (250, 1000, 10)])
+def test_bin_completion_saves_bins_at_production_size(least, most, saved):
+    rng = random.Random(1)
+    sizes = [rng.randint(least, most) for _ in range(packing.BLOCK)]
+    bins = packing.pack_block(np.array(sizes), packing.CAPACITY)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= packing.CAPACITY for b in bins)
+    assert len(bins) <= len(packing.best_fit(sorted(sizes, reverse=True), packing.CAPACITY)) - saved
+
+
 def covered(rows):
     """(id, token ranges) of all sequences."""
     out = defaultdict(list)
