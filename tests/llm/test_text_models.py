@@ -120,6 +120,55 @@ def test_row_filter_lets_every_random_match_through():
             assert re.search(MAYBE, t) or not PATTERN.search(t), t
 
 
+SPELLINGS = [
+    ("3782 822463 10005", "3782-822463-10005", "378282246310005"),
+    ("3056 930902 5904", "30569309025904"),
+    ("5551234567", "555 123 4567", "555-123-4567", "(555) 123-4567"),
+    ("0612345678", "06 12 34 56 78", "06.12.34.56.78"),
+    ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "GB82-WEST-1234-5698-7654-32"),
+    ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"),
+    ("AT61 1904 3002 3457 3201", "AT611904300234573201"),
+    ("AD12 0001 2030 2003 5910 0100", "AD1200012030200359100100"),
+]
+
+
+@pytest.mark.parametrize("spellings", SPELLINGS)
+def test_spellings_of_a_value_share_its_pseudonym(spellings):
+    images = set()
+    for s in spellings:
+        for wrap in ("{}", "see {}.", "({}) NEXT 12"):
+            text = wrap.format(s)
+            out, n = rewrite(text, C)
+            assert n == 1 and re.search(MAYBE, text) and rewrite(out, C, back=True) == (text, 1), out
+            assert re.sub(r"\w", "x", out) == re.sub(r"\w", "x", text)
+            images.add(re.sub(r"[^0-9A-Z]", "", out[len(wrap.split("{")[0]) :][: len(s)]))
+    assert len(images) == 1 and images.isdisjoint(re.sub(r"[^0-9A-Z]", "", s) for s in spellings)
+
+
+def test_ibans_in_groups_keep_their_checksum_right_or_wrong():
+    right = lambda v: int("".join(str(int(ch, 36)) for ch in v[4:] + v[:4])) % 97 == 1
+    for k in range(300):
+        text = f"DE{k % 97 + 2:02d} 3704 0044 0532 0{k:03d} 00"
+        out = rewrite(text, C)[0]
+        assert right(out.replace(" ", "")) == right(text.replace(" ", "")) and rewrite(out, C, back=True)[0] == text
+
+
+@pytest.mark.parametrize("local", ["иван", "Иван.Петров", "ÉÖÜ", "ñ_é", "漢字", "josé12", "ß", "אבג"])
+def test_local_parts_of_every_script_are_replaced(local):
+    text = f"to {local}@example.com now"
+    out, n = rewrite(text, C)
+    assert n == 1 and re.fullmatch(r"to [\w.]+@example\.com now", out) and rewrite(out, C, back=True) == (text, 1)
+    new = out[3:].split("@")[0]
+    assert [c.isupper() for c in new] == [c.isupper() for c in local] and all(c.isalnum() == d.isalnum() and c.isascii() == d.isascii() for c, d in zip(new, local))
+    assert rewrite(f"{local.lower()}@example.com", C)[0] == new.lower() + "@example.com"
+
+
+def test_permutation_of_letters_is_one_to_one():
+    signs = "".join(chr(x) for x in range(0x400, 0x460))
+    assert len({rewrite(f"{c}@x.org", C)[0] for c in signs}) == len(signs)
+    assert all(rewrite(rewrite(f"{c}@x.org", C)[0], C, back=True)[0] == f"{c}@x.org" for c in map(chr, range(128, 0x3000)))
+
+
 def test_machine_equals_sum_over_pairs():
     rng = np.random.default_rng(0)
     size = quality.WORDS + len(quality.STATS) + quality.META
