@@ -193,6 +193,33 @@ def test_neighbours_recall(spark):
     assert recall(neighbours.neighbours(df).collect(), p["vec_id"].tolist(), np.stack(p["embedding"]).astype(float), 10) >= 0.9
 
 
+def test_neighbours_of_the_registered_queries(spark):
+    """Every row whose id is divisible by 100 asks, against all rows."""
+    p = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x, ids = np.stack(p["embedding"]).astype(float), p["vec_id"].to_numpy()
+    got = {r["vec_id"]: r for r in neighbours.op10_neighbours(spark, "/root/testdata/sf0.1").collect()}
+    assert sorted(got) == sorted(i for i in ids.tolist() if i % 100 == 0)
+    at, hit = {i: k for k, i in enumerate(ids.tolist())}, 0
+    for i, r in got.items():
+        far = np.sqrt(((x - x[at[i]]) ** 2).sum(1))
+        assert i not in r["neighbours"] and np.allclose([far[at[j]] for j in r["neighbours"]], r["distances"], atol=1e-3)
+        hit += (np.array(r["distances"]) <= np.sort(np.delete(far, at[i]))[9] + 1e-4).sum()
+    assert hit >= 0.9 * 10 * len(got)
+
+
+def test_neighbours_by_text_ids(spark):
+    rows = [("a", [0.0, 0.0]), ("b", [0.0, 0.0]), ("é", [3.0, 4.0]), ("", [0.0, 1.0]), ("z", None), (None, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    out = {r["vec_id"]: (r["neighbours"], r["distances"]) for r in neighbours.neighbours(df, k=2).collect()}
+    assert set(out) == {"a", "b", "é", "", "z"} and out["z"] == ([], [])
+    assert out[""] == (["a", "b"], [1.0, 1.0]) and out["a"] == (["b", ""], [0.0, 1.0])
+    some = neighbours.neighbours(df, k=1, asks=F.when(F.col("vec_id") == "é", F.lit(True))).collect()
+    assert [(r["vec_id"], r["neighbours"]) for r in some] == [("é", [""])]
+    short = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "vec_id int, embedding array<double>")
+    out = neighbours.neighbours(short)
+    assert out.schema["neighbours"].dataType.elementType.simpleString() == "int" and {r["vec_id"]: r["neighbours"] for r in out.collect()} == {1: [2], 2: [1]}
+
+
 def test_neighbours_with_split_lists_and_clusters(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(600, 24)) * 0.01 + 3, rng.normal(size=(12, 1, 24)).repeat(40, 1).reshape(-1, 24) + rng.normal(size=(480, 24)) * 0.1]).astype(np.float32)
