@@ -21,6 +21,14 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def hidden(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    name, taken = HIDDEN + stem, {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def orderable(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
         return orderable(kind.elementType)

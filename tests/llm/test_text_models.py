@@ -272,13 +272,68 @@ def test_roles_held_out(spark):
     assert right / total > 0.93
 
 
+@pytest.fixture(scope="module")
+def talk(spark):
+    """A model of half of the conversations, and the turns of the others."""
+    rows = chat.transcripts(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet"))
+    half = F.pmod(F.xxhash64("conv", F.lit(9)), F.lit(2)) == 0
+    return chat.train(rows.where(half)), [[(t["role"], t["text"]) for t in r["turns"]] for r in rows.where(~half).orderBy("conv").limit(150).collect()]
+
+
+def written(turns, style, gap):
+    return gap.join(dict(zip(chat.ROLES, style))[role] + text for role, text in turns)
+
+
+@pytest.mark.parametrize("style", chat.STYLES)
+def test_fully_marked_transcripts_come_back_byte_for_byte(spark, talk, style):
+    model, held = talk
+    asked = [(i, written(t, style, gap)) for gap in ("\n", "\n\n") for i, t in enumerate(held)]
+    rows = chat.parse(spark.createDataFrame(asked, "conv int, transcript string"), model).collect()
+    assert len(rows) == len(asked) and all(r["rendered"] == chat.render(held[r["conv_id"]]) for r in rows)
+
+
 @pytest.mark.parametrize("style", chat.STYLES)
-def test_marked_transcripts_are_read(spark, style):
-    system, user, assistant = style
-    model = chat.train(chat.transcripts(spark.read.parquet(f"{BIG}/conversations.parquet")))
-    text = f"{system}Be kind.\n{user}What is it?\n{assistant}It is a thing.\nIt has two lines."
+def test_blank_lines_and_what_looks_like_a_marker_stay(talk, style):
+    model, held = talk
+    rng, good = random.Random(1), 0
+    decoys = ["\nNote: keep this", "\n### Notes\nmore", "\n\n\nAnd so on.", "\n\n[user] is a name" if style[0][0] != "[" else "\nHuman: is a name", "\nContext: the river rose\nA: is a letter" if style[1] != "Q: " else "\n<|user|> is a name"]
+    for turns in held:
+        turns = [(role, text + rng.choice(["", *decoys])) for role, text in turns]
+        text = written(turns, style, "\n")
+        lines, f = chat.lines_of(text)
+        got = chat.turns_of(text, lines, model.viterbi([f])[0])
+        good += got == turns
+        # whatever the path: only markers, and white space between turns, may be gone
+        left = text
+        for _, t in got:
+            before, found, left = left.partition(t)
+            assert found and before.strip() in ("", *(m.strip() for m in style))
+        assert not left.strip()
+    assert good >= 0.9 * len(held)
+
+
+def test_markers_in_the_middle_of_a_turn_stay(talk):
+    text = "User: First paragraph.\n\nSecond paragraph.\nContext: the river rose\nA: is a letter\n\nAssistant: Seen.\n  indented\n\nUser: Thanks. Is that all?\nAssistant: It is."
+    lines, f = chat.lines_of(text)
+    assert chat.turns_of(text, lines, talk[0].viterbi([f])[0]) == [("user", "First paragraph.\n\nSecond paragraph.\nContext: the river rose\nA: is a letter"), ("assistant", "Seen.\n  indented"), ("user", "Thanks. Is that all?"), ("assistant", "It is.")]
+
+
+def test_other_roles(spark, talk):
+    turns = [("user", "Look it up."), ("tool", "42 rows\n7 columns"), ("assistant", "There are 42.")]
+    for style in chat.STYLES:
+        text = written(turns, style, "\n")
+        lines, f = chat.lines_of(text)
+        assert chat.turns_of(text, lines, talk[0].viterbi([f])[0]) == turns
+    assert [chat.role_of(x) for x in ("Human", " function", "GPT", "developer", "robot", "", None)] == ["user", "tool", "assistant", "system", None, None, None]
+    rows = [(1, 0, "Human", "Hello, who is it?", 1), (1, 1, "robot", "Somebody else is here.", 1), (1, 2, "FUNCTION", "beep", 1)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, __plm_picked int")).first()
+    assert all(t in out["rendered"] for _, _, _, t, _ in rows) and set(out["roles"]) <= set(chat.ROLES)
+
+
+@pytest.mark.parametrize("text,turns", [("", []), ("\n \n", []), ("User:", []), ("User:\n\n", []), ("<|im_start|>user\nHi.<|im_end|>\n<|im_start|>assistant\nYes.<|im_end|>\n", [("user", "Hi."), ("assistant", "Yes.")])])
+def test_odd_transcripts(talk, text, turns):
     lines, f = chat.lines_of(text)
-    assert chat.turns_of(lines, model.viterbi([f])[0]) == [("system", "Be kind."), ("user", "What is it?"), ("assistant", "It is a thing.\nIt has two lines.")]
+    assert chat.turns_of(text, lines, talk[0].viterbi([f])[0]) == turns
 
 
 def test_rendering_can_not_be_broken_out_of():
