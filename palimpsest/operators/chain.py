@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import ed25519
 from palimpsest.functions.digest import DIGESTS, blake3_finish, blake3_heads
 from palimpsest.functions.records import CHECKPOINT, LEDGER
-from palimpsest.shared import cut
+from palimpsest.shared import cut, spread
 
 BLOCK = 4096
 _REPORT = "ok boolean, rows_checked long, seq long, record_id string, kind string, detail string"
@@ -33,83 +33,113 @@ def key_id(public: bytes) -> str:
     return DIGESTS["blake3"]([public])[0].hex()[:16]
 
 
+def linked(rows: list[dict[str, Any]], seed: bytes, after: tuple[int, str | None], digest: str = "blake3") -> list[tuple]:
+    """Ledger rows (as in LEDGER) for ``rows``, linked after (seq, entry_hash) in their order."""
+    kid, (seq, prev) = key_id(ed25519.public_key(seed)), after
+    payloads = [r["payload_json"].encode() for r in rows]
+    # What of a hash doesn't depend on the row before is worked out for all rows at once.
+    heads = blake3_heads(payloads) if digest == "blake3" else []
+    out = []
+    for i, r in enumerate(rows):
+        if heads and prev:
+            raw = blake3_finish(heads[i], payloads[i][1024 * len(heads[i]) :] + prev.encode())
+        else:
+            raw = DIGESTS[digest]([link_text(r["payload_json"], prev)])[0]
+        seq += 1
+        entry = f"{digest}:{raw.hex()}"
+        out.append((seq, r["record_id"], r["kind"], r["namespace"], r["payload_json"], entry, prev, ed25519.sign(seed, raw), kid, r["created_at"]))
+        prev = entry
+    return out
+
+
 def append(batch: DataFrame, seed: bytes, *, after: tuple[int, str] | None = None, digest: str = "blake3") -> DataFrame:
     """Ledger rows for ``batch`` (order, record_id, kind, namespace, payload_json, created_at), linked after row (seq, entry_hash).
 
     A chain is serial by nature: a row's hash needs the one before. So one task folds over the batch in ``order``;
     batches stay bounded, and a micro-batch stream commits one at a time.
     """
-    kid = key_id(ed25519.public_key(seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, prev = after or (0, None)
+        at = after or (0, None)
         for b in batches:
-            rows, out = b.to_pylist(), []
-            payloads = [r["payload_json"].encode() for r in rows]
-            # What of a hash doesn't depend on the row before is worked out for the whole batch at once.
-            heads = blake3_heads(payloads) if digest == "blake3" else []
-            for i, r in enumerate(rows):
-                if heads and prev:
-                    raw = blake3_finish(heads[i], payloads[i][1024 * len(heads[i]) :] + prev.encode())
-                else:
-                    raw = DIGESTS[digest]([link_text(r["payload_json"], prev)])[0]
-                seq += 1
-                entry = f"{digest}:{raw.hex()}"
-                out.append((seq, r["record_id"], r["kind"], r["namespace"], r["payload_json"], entry, prev, ed25519.sign(seed, raw), kid, r["created_at"]))
-                prev = entry
+            out = linked(b.to_pylist(), seed, at, digest)
+            if out:
+                at = out[-1][0], out[-1][5]
             cols = list(zip(*out)) if out else [[]] * 10
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64())] + [pa.array(c, pa.string()) for c in cols[1:]], names=[c.split()[0] for c in LEDGER.split(", ")])
 
     return batch.repartition(1).sortWithinPartitions("order").select("record_id", "kind", "namespace", "payload_json", "created_at").mapInArrow(run, LEDGER)
 
 
-def _ranges(ledger: DataFrame, rows_a_task: int = 100_000) -> int:
-    """How many ranges of seq to check in parallel. Hashing and signatures cost far more than bytes tell, so the number is given and not left to coalescing by size."""
-    return max(ledger.sparkSession.sparkContext.defaultParallelism, -(-ledger.count() // rows_a_task))
+#: A run of rows with consecutive seqs: its first row, what is wrong with that one alone, its last row, its length, and its first other failure.
+_RUN = "seq long, record_id string, prev string, edit boolean, forged boolean, end long, last string, n long, bad_at long, bad_seq long, bad_id string, bad_kind string"
+_RUN_SCHEMA = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]]) for c in _RUN.split(", ")])
+
+
+def _join(one: dict[str, Any] | None, two: dict[str, Any]) -> dict[str, Any]:
+    """A run and the one after it as one run."""
+    if one is None:
+        return dict(two)
+    if one["bad_kind"] is None:
+        kind = "edit" if two["edit"] else "gap" if two["prev"] != one["last"] else "forgery" if two["forged"] else None
+        if kind:
+            one |= {"bad_at": one["n"], "bad_seq": two["seq"], "bad_id": two["record_id"], "bad_kind": kind}
+        elif two["bad_kind"]:
+            one |= {k: two[k] for k in ("bad_seq", "bad_id", "bad_kind")} | {"bad_at": one["n"] + two["bad_at"]}
+    return one | {"end": two["end"], "last": two["last"], "n": one["n"] + two["n"]}
 
 
 def verify_chain(ledger: DataFrame, public: bytes | None, digest: str = "blake3") -> DataFrame:
     """One row (ok, rows_checked, seq, record_id, kind, detail): the first divergence, if there is one.
 
-    Rows are ranged by seq over the tasks. Each recomputes the hashes from the stored links, checks links between its
-    own rows and signatures, and reports its first failure and its edges in one small row; the driver joins the edges.
-    In a row an edit comes before a gap and that before a forgery. Without a key, signatures aren't checked.
+    Hashes are recomputed from the stored links and signatures checked in the scan, where the payloads are; they are
+    never shuffled. Each batch is reported as its runs of consecutive seqs, one row a run: a ledger that is stored in
+    order, as it is written, gives one a task, and one in any order at most some 200 bytes a row. Runs are ranged by
+    seq and joined in parallel, and the driver joins what the tasks report. In a row an edit comes before a gap and
+    that before a forgery. Without a key, signatures aren't checked. Inputs of fewer partitions than cores are spread
+    over the cores first, since hashing and signatures cost far more than moving so few bytes.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[str, Any] | None = None
-        last: str | None = None
-        n, bad = 0, None
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Any] | None = None
         for b in batches:
             t = b.to_pydict()
-            links = [link_text(p, h) for p, h in zip(t["payload_json"], t["prev_hash"])]
-            raws = DIGESTS[digest](links)
-            for i, raw in enumerate(raws):
+            order = sorted(range(len(t["seq"])), key=t["seq"].__getitem__)
+            raws = DIGESTS[digest]([link_text(p, h) for p, h in zip(t["payload_json"], t["prev_hash"])])
+            done, wrong = [], False
+            for i in order:
+                seq, raw = t["seq"][i], raws[i]
                 edit = f"{digest}:{raw.hex()}" != t["entry_hash"][i]
-                # Signatures are the dearest check, and don't matter once something earlier has failed.
-                forged = bad is None and not edit and public is not None and not ed25519.verify(public, raw, t["signature"][i])
-                if first is None:
-                    first = {"seq": t["seq"][i], "record_id": t["record_id"][i], "prev": t["prev_hash"][i], "edit": edit, "forged": forged}
-                elif bad is None and (edit or t["prev_hash"][i] != last or forged):
-                    bad = (n, t["seq"][i], t["record_id"][i], "edit" if edit else "gap" if t["prev_hash"][i] != last else "forgery")
-                last = t["entry_hash"][i]
-                n += 1
-        if first is not None:
-            bad = bad or (None, None, None, None)
-            yield pa.RecordBatch.from_pylist([first | {"last": last, "n": n, "bad_at": bad[0], "bad_seq": bad[1], "bad_id": bad[2], "bad_kind": bad[3]}], schema=pa.schema([("seq", pa.int64()), ("record_id", pa.string()), ("prev", pa.string()), ("edit", pa.bool_()), ("forged", pa.bool_()), ("last", pa.string()), ("n", pa.int64()), ("bad_at", pa.int64()), ("bad_seq", pa.int64()), ("bad_id", pa.string()), ("bad_kind", pa.string())]))
+                # Signatures are the dearest check, and don't matter once an earlier row of the batch has failed.
+                forged = not wrong and not edit and public is not None and not ed25519.verify(public, raw, t["signature"][i])
+                row = {"seq": seq, "record_id": t["record_id"][i], "prev": t["prev_hash"][i], "edit": edit, "forged": forged, "end": seq, "last": t["entry_hash"][i], "n": 1, "bad_at": None, "bad_seq": None, "bad_id": None, "bad_kind": None}
+                if held is not None and seq != held["end"] + 1:
+                    done.append(held)
+                    held = None
+                held = _join(held, row)
+                wrong = wrong or edit or forged
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=_RUN_SCHEMA)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([held], schema=_RUN_SCHEMA)
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[str, Any] | None = None
+        for b in batches:
+            for run in b.to_pylist():
+                whole = _join(whole, run)
+        if whole is not None:
+            yield pa.RecordBatch.from_pylist([whole], schema=_RUN_SCHEMA)
 
     spark = ledger.sparkSession
-    parts = ledger.select("seq", "record_id", "payload_json", "entry_hash", "prev_hash", "signature").repartitionByRange(_ranges(ledger), "seq").sortWithinPartitions("seq")
-    edges = parts.mapInArrow(run, "seq long, record_id string, prev string, edit boolean, forged boolean, last string, n long, bad_at long, bad_seq long, bad_id string, bad_kind string").collect()
-    before, rows = None, 0
-    for e in sorted(edges, key=lambda r: r["seq"]):  # one row a task
-        kind = "edit" if e["edit"] else "gap" if e["prev"] != before else "forgery" if e["forged"] else None
-        if kind:
-            return spark.createDataFrame([(False, rows, e["seq"], e["record_id"], kind, _DETAIL[kind])], _REPORT)
-        if e["bad_kind"]:
-            return spark.createDataFrame([(False, rows + e["bad_at"], e["bad_seq"], e["bad_id"], e["bad_kind"], _DETAIL[e["bad_kind"]])], _REPORT)
-        before, rows = e["last"], rows + e["n"]
-    return spark.createDataFrame([(True, rows, None, None, None, None)], _REPORT)
+    runs = spread(ledger.select("seq", "record_id", "payload_json", "entry_hash", "prev_hash", "signature")).mapInArrow(scan, _RUN)
+    parts = runs.repartitionByRange("seq").sortWithinPartitions("seq").mapInArrow(stitch, _RUN).collect()  # a row a task
+    whole: dict[str, Any] = {"seq": 0, "record_id": None, "prev": None, "edit": False, "forged": False, "end": 0, "last": None, "n": 0, "bad_at": None, "bad_seq": None, "bad_id": None, "bad_kind": None}
+    for r in sorted(parts, key=lambda r: r["seq"]):
+        whole = _join(whole, r.asDict())
+    if whole["bad_kind"]:
+        return spark.createDataFrame([(False, whole["bad_at"], whole["bad_seq"], whole["bad_id"], whole["bad_kind"], _DETAIL[whole["bad_kind"]])], _REPORT)
+    return spark.createDataFrame([(True, whole["n"], None, None, None, None)], _REPORT)
 
 
 def leaf(data: bytes) -> bytes:
@@ -130,6 +160,45 @@ def compute_root(leaves: list[bytes], digest: str = "blake3") -> bytes:
     return _reduce(DIGESTS[digest]([leaf(x) for x in leaves]), digest)
 
 
+Peaks = list[tuple[int, bytes]]
+
+
+def push(peaks: Peaks, size: int, node: bytes, digest: str = "blake3") -> None:
+    """Add a full subtree of ``size`` leaves (a power of two that divides the leaves so far) behind the full subtrees that stand for a tree."""
+    peaks.append((size, node))
+    while len(peaks) > 1 and peaks[-2][0] == peaks[-1][0]:
+        (n, left), (_, right) = peaks[-2:]
+        peaks[-2:] = [(2 * n, DIGESTS[digest]([b"\x01" + left + right])[0])]
+
+
+def peaks_root(peaks: Peaks, digest: str = "blake3") -> bytes:
+    """The root of the tree: what is left over at each level moves up, so the subtrees are joined from the right."""
+    if not peaks:
+        return DIGESTS[digest]([b""])[0]
+    node = peaks[-1][1]
+    for _, left in reversed(peaks[:-1]):
+        node = DIGESTS[digest]([b"\x01" + left + node])[0]
+    return node
+
+
+def new_nodes(rows: DataFrame, digest: str = "blake3", block: int = BLOCK) -> list[tuple[int, bytes]]:
+    """(size, node) of the full subtrees, in order, for ledger rows of consecutive seqs that begin anywhere.
+
+    Aligned blocks are reduced in parallel to one node; of the two blocks that ``rows`` may hold in part come the leaves.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        nodes = DIGESTS[digest]([leaf(x.encode()) for x in t.column("entry_hash").to_pylist()])
+        first = t.column("seq")[0].as_py()
+        if len(nodes) == block:
+            return pa.table({"seq": pa.array([first], pa.int64()), "size": pa.array([block], pa.int64()), "node": pa.array([_reduce(nodes, digest)], pa.binary())})
+        return pa.table({"seq": pa.array(range(first, first + len(nodes)), pa.int64()), "size": pa.array([1] * len(nodes), pa.int64()), "node": pa.array(nodes, pa.binary())})
+
+    found = rows.select("seq", "entry_hash").groupBy(F.expr(f"(seq - 1) div {block}").alias("b")).applyInArrow(lambda t: run(t), "seq long, size long, node binary").collect()
+    return [(r["size"], bytes(r["node"])) for r in sorted(found, key=lambda r: r["seq"])]
+
+
 def inclusion_proof(leaves: list[bytes], index: int, digest: str = "blake3") -> list[tuple[bytes, bool]]:
     """(sibling, whether it is on the left) from the leaf up."""
     if index < 0 or index >= len(leaves):

@@ -164,3 +164,46 @@ def test_checkpoint_cadence():
     assert [n for n in range(2000) if chain.due(n, n + 1, 500)] == [499, 999, 1499, 1999]
     assert not chain.due(0, 10, 0)
     assert set(DIGESTS) == {"blake3", "sha256"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 6, 7, 12, 33])
+def test_peaks_give_the_root_of_one_tree(n):
+    leaves, peaks = [f"leaf-{i}".encode() for i in range(n)], []
+    for x in leaves:
+        chain.push(peaks, 1, DIGESTS["blake3"]([chain.leaf(x)])[0])
+    assert chain.peaks_root(peaks) == chain.compute_root(leaves) and len(peaks) == bin(n).count("1")
+
+
+@pytest.mark.parametrize("first,last", [(1, 3), (1, 16), (3, 21), (4, 4), (5, 8)])
+def test_new_rows_go_on_with_a_tree(spark, first, last):
+    leaves, peaks = [f"leaf-{i}".encode() for i in range(1, last + 1)], []
+    for x in leaves[: first - 1]:
+        chain.push(peaks, 1, DIGESTS["blake3"]([chain.leaf(x)])[0])
+    rows = spark.createDataFrame([(i, f"leaf-{i}") for i in range(first, last + 1)], "seq long, entry_hash string").repartition(3)
+    for size, node in chain.new_nodes(rows, block=4):
+        chain.push(peaks, size, node)
+    assert chain.peaks_root(peaks) == chain.compute_root(leaves)
+
+
+def test_tampering_is_found_in_any_storage_order(spark):
+    rows = ledger(spark, 40).cache()
+    for parts in (1, 7):
+        mixed = rows.orderBy(F.xxhash64("seq")).repartition(parts)
+        assert chain.verify_chain(mixed, KEY).first()["rows_checked"] == 40
+        swapped = mixed.withColumn("prev_hash", F.when(F.col("seq") == 23, F.lit("blake3:00")).otherwise(F.col("prev_hash")))
+        signed = mixed.withColumn("signature", F.when(F.col("seq").isin(9, 31), F.lit("ed25519:00")).otherwise(F.col("signature")))
+        got = [chain.verify_chain(x, KEY).first() for x in (swapped, signed, mixed.where("seq not in (12, 30)"), mixed.unionByName(mixed.where("seq = 20")))]
+        assert [(r["seq"], r["kind"], r["rows_checked"]) for r in got] == [(23, "edit", 22), (9, "forgery", 8), (13, "gap", 11), (20, "gap", 20)]
+
+
+def test_payloads_are_not_shuffled_to_be_verified(spark, tmp_path):
+    ledger(spark, 12).repartition(16).write.parquet(str(tmp_path / "l"))
+    stored = spark.read.parquet(str(tmp_path / "l"))
+    seen = []
+    real = type(stored).repartitionByRange
+    try:
+        type(stored).repartitionByRange = lambda self, *a: seen.append(self.columns) or real(self, *a)
+        assert chain.verify_chain(stored, KEY).first()["ok"]
+    finally:
+        type(stored).repartitionByRange = real
+    assert seen and all("payload_json" not in c for c in seen)
