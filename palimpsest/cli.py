@@ -13,7 +13,7 @@ from palimpsest import export, replay
 from palimpsest.operators import graph
 from palimpsest.plans import forensics as fx
 from palimpsest.plans import similarity as sim
-from palimpsest.profile import Profile
+from palimpsest.profile import Profile, home
 from palimpsest.sources.tables import id_list
 
 VERSION = "0.1.0"
@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("version", "init", "demo", "verify", "trace", "blast-radius", "drift", "timeline", "rollback", "report", "reconcile"):
         s = sub.add_parser(name)
-        s.add_argument("--profile", default=".palimpsest")
+        s.add_argument("--profile", default=home())
         if name in ("trace", "report"):
             s.add_argument("--action", required=True)
             s.add_argument("--format", default="md", choices=("md", "json", "mermaid", "dot") if name == "trace" else ("md", "json", "sarif"))

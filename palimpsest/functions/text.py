@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cache
+from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.digest import DIGESTS
+
 DIM = 256
 STOP = tuple("a an and are in is it its of on or the to was".split())
-_STOPS = frozenset(STOP)
+_STOPS = frozenset(t.encode() for t in STOP)
 #: White space as \s means it in Python for ASCII, spelled out since engines differ.
 _S = r"[ \t\n\r\f\x0B\x1C-\x1F]"
 _PRIOR, _SECRET = "(?:previous|prior|above)", "(?:password|secret|credential)s?"
@@ -37,62 +42,159 @@ SECRETS = {"aws_access_key": r"\bAKIA[0-9A-Z]{16}\b", "github_token": r"\bgh[ops
 PII = {"email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "us_ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"}
 
 
-_TOKEN = re.compile("[a-z0-9]+")
-_buckets: dict[str, int] = {}
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(97, 123)]] = True
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def token_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, text, start, end) of the runs of a-z and 0-9 in the lower-cased texts, all at once on Arrow buffers; nulls have none."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.replace_substring(pc.fill_null(texts, ""), "\u0130", "i\u0307")  # the one capital whose small form is two code points
+    low = pc.utf8_lower(texts).cast(pa.large_string())
+    if not len(low):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), none, none, none
+    off = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
+    raw = np.frombuffer(low.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = _WORD[raw]
+    first, last = inside[1:-1].copy(), inside[1:-1].copy()
+    first &= ~inside[:-2]
+    last &= ~inside[2:]
+    edge = off[(off > 0) & (off < len(raw))]  # a text begins: what goes before isn't part of its first token
+    first[edge] = inside[1:-1][edge]
+    last[edge - 1] = inside[1:-1][edge - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return raw, np.searchsorted(off, start, "right") - 1, start, end
+
+
+def _keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each token: eight bytes at a time are mixed in, for as many tokens as are that long."""
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
+    size = end - start
+    key, on, at = size.astype(np.uint64), np.arange(len(start)), start
+    while len(on):
+        word, left = np.ascontiguousarray(view[at]).view("<u8").ravel(), end[on] - at
+        short = left < 8
+        word[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        key[on] = _mix(key[on] * np.uint64(0xD1342543DE82EF95) + word)
+        more = left > 8
+        on, at = on[more], at[more] + 8
+    return key
+
+
+class Embedder(Protocol):
+    """Texts as sparse vectors. ``kind`` is the SQL type of the weights, ``dim`` the number of buckets."""
+
+    kind: str
+    dim: int
+
+    def cells(self, texts: pa.Array) -> pa.Array:
+        """For each text its (bucket, n), in order of bucket."""
+        ...
+
+
+class _Units:
+    def cells_of(self, text: str | None) -> dict[int, float]:
+        """Bucket -> weight of one text."""
+        return {x["bucket"]: x["n"] for x in self.cells(pa.array([text], pa.string()))[0].as_py()}
+
+    def unit(self, text: str | None) -> np.ndarray | None:
+        """The vector of one text, of length 1; None if it has none."""
+        v = np.zeros(self.dim)
+        for at, n in self.cells_of(text).items():
+            v[at] = n
+        size = np.sqrt(v @ v)
+        return v / size if size else None
 
 
-def bucket(token: str) -> int:
-    """The first four bytes of the token's SHA-256, modulo the dimension; kept for tokens that were met before."""
-    at = _buckets.get(token)
-    if at is None:
-        at = int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big") % DIM
-        if len(_buckets) < 1_000_000:
-            _buckets[token] = at
-    return at
+def _listed(text: np.ndarray, bucket: np.ndarray, n: pa.Array, texts: int) -> pa.Array:
+    pair = pa.StructArray.from_arrays([pa.array(bucket.astype(np.int64)), n], ["bucket", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(text, minlength=texts)))), pa.int32()), pair)
 
 
-def cells_of(text: str | None) -> dict[int, int]:
-    """Bucket -> number of tokens of a text."""
-    out: dict[int, int] = {}
-    for t in _TOKEN.findall((text or "").lower()):
-        if t not in _STOPS:
-            b = bucket(t)
-            out[b] = out.get(b, 0) + 1
-    return out
+@dataclass(frozen=True)
+class HashEmbedder(_Units):
+    """Token counts by bucket: the first four bytes of a token's digest, modulo ``dim``. Only distinct tokens are hashed.
+
+    SHA-256 can be held against SQL; ``digest="blake3"`` gives the vectors of systems that bucket by BLAKE3.
+    """
+
+    digest: str = "sha256"
+    dim: int = DIM
+    kind = "bigint"
+
+    def buckets(self, tokens: list[bytes]) -> np.ndarray:
+        return np.array([int.from_bytes(d[:4], "big") % self.dim for d in DIGESTS[self.digest](tokens)], np.int64)
+
+    def cells(self, texts: pa.Array) -> pa.Array:
+        raw, text, start, end = token_spans(texts)
+        if not len(text):
+            return _listed(text, text, pa.array([], pa.int64()), len(texts))
+        _, first, which = np.unique(_keys(raw, start, end), return_index=True, return_inverse=True)
+        tokens = [raw[start[i] : end[i]].tobytes() for i in first]
+        at = np.where([t in _STOPS for t in tokens], -1, self.buckets(tokens))[which]
+        cell, n = np.unique(text[at >= 0] * self.dim + at[at >= 0], return_counts=True)
+        return _listed(cell // self.dim, cell % self.dim, pa.array(n.astype(np.int64)), len(texts))
+
+
+@dataclass(frozen=True)
+class ModelEmbedder(_Units):
+    """Vectors of a model of one's own: ``model`` takes texts, many at a time, and returns a row of ``dim`` numbers for each."""
+
+    model: Callable[[list[str]], np.ndarray]
+    dim: int
+    kind = "double"
+
+    def cells(self, texts: pa.Array) -> pa.Array:
+        x = np.asarray(self.model([t or "" for t in texts.to_pylist()]), float).reshape(len(texts), self.dim) if len(texts) else np.zeros((0, self.dim))
+        text, bucket = np.nonzero(x)
+        return _listed(text, bucket, pa.array(x[text, bucket]), len(texts))
+
+
+DEFAULT = HashEmbedder()
 
 
 @cache
-def _cells_udf():
-    @F.arrow_udf("array<struct<bucket:bigint,n:bigint>>")
+def _cells_udf(embedder: Embedder):
+    @F.arrow_udf(f"array<struct<bucket:bigint,n:{embedder.kind}>>")
     def run(texts: pa.Array) -> pa.Array:
-        buckets: list[int] = []
-        counts: list[int] = []
-        at = [0]
-        for t in texts:
-            cells = cells_of(t.as_py())
-            for b in sorted(cells):
-                buckets.append(b)
-                counts.append(cells[b])
-            at.append(len(buckets))
-        pair = pa.StructArray.from_arrays([pa.array(buckets, pa.int64()), pa.array(counts, pa.int64())], ["bucket", "n"])
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pair)
+        return embedder.cells(texts)
 
     # Else a filter on the result is pushed below it and the text is gone through twice.
     return run.asNondeterministic()
 
 
-def cells(text: Column) -> Column:
+def cells(text: Column, embedder: Embedder = DEFAULT) -> Column:
     """Array of (bucket, n) in order of bucket: the sparse vector of a text. It is worked out within its row, so nothing is shuffled."""
-    return _cells_udf()(text)
+    return _cells_udf(embedder)(text)
 
 
-def norm(cells: Column) -> Column:
-    return F.sqrt(F.aggregate(cells, F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"]).cast("double"))
+def norm(cells: Column, embedder: Embedder = DEFAULT) -> Column:
+    return F.sqrt(F.aggregate(cells, F.lit(0).cast(embedder.kind), lambda a, x: a + x["n"] * x["n"]).cast("double"))
 
 
-def sparse(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+def sparse(rows: DataFrame, keys: list[str], text: str, embedder: Embedder = DEFAULT) -> DataFrame:
     """(keys, bucket, n): how many tokens of each row fall in each bucket. Rows without tokens have none."""
-    return rows.select(*keys, F.explode(cells(F.col(text))).alias("c")).select(*keys, "c.bucket", "c.n")
+    return rows.select(*keys, F.explode(cells(F.col(text), embedder)).alias("c")).select(*keys, "c.bucket", "c.n")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """To ``digits`` places as Python rounds: by the exact binary value, which decimal rounding of its digits misses at ties. For few rows, as those of findings."""
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else round(v, digits) for v in x.to_pylist()], pa.float64())
+
+    return run(x)
 
 
 def injection_matches(text: Column) -> Column:

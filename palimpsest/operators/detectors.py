@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,22 @@ TRUSTED, SUSPECT = ("trusted", "system"), ("untrusted", "quarantined", "semi_tru
 Detector = Callable[[DataFrame], DataFrame]
 
 
-def _findings(rows: DataFrame, name: str, severity: Column | str, message: str, evidence: dict[str, Column]) -> DataFrame:
+MESSAGES = {
+    "provenance_missing": "write has no source locator",
+    "injection_scan": "content tries to override instructions",
+    "unicode_smuggling": "content has hidden or direction-changing characters",
+    "secrets_pii": "content holds secrets or personal data",
+    "write_rate": "source writes faster than allowed",
+    "trust_scoring": "anomalous write lowers the trust in its source",
+    "drift": "write departs from earlier trusted writes on its subject",
+}
+
+
+def findings(rows: DataFrame, name: str, severity: Column | str, evidence: dict[str, Column], message: str | None = None) -> DataFrame:
+    """Rows (with record_id) as findings; a detector of one's own brings its message."""
     sev = F.lit(severity) if isinstance(severity, str) else severity
     ev = F.create_map(*[x for k, v in evidence.items() for x in (F.lit(k), v.cast("string"))])
-    return rows.select(F.lit(name).alias("detector_name"), sev.alias("severity"), "record_id", F.lit(message).alias("message"), ev.alias("evidence"))
+    return rows.select(F.lit(name).alias("detector_name"), sev.alias("severity"), "record_id", F.lit(message or MESSAGES.get(name, name)).alias("message"), ev.alias("evidence"))
 
 
 def writes(ledger: DataFrame) -> DataFrame:
@@ -29,22 +41,22 @@ def writes(ledger: DataFrame) -> DataFrame:
 
 def provenance_missing(w: DataFrame) -> DataFrame:
     severity = F.when(F.col("source_type").isin(*EXTERNAL), "HIGH").otherwise("INFO")
-    return _findings(w.where("coalesce(locator, '') = ''"), "provenance_missing", severity, "write has no source locator", {"source_type": F.col("source_type"), "trust_level": F.col("trust_level")})
+    return findings(w.where("coalesce(locator, '') = ''"), "provenance_missing", severity, {"source_type": F.col("source_type"), "trust_level": F.col("trust_level")})
 
 
 def injection_scan(w: DataFrame) -> DataFrame:
     hit = w.withColumn("m", tx.injection_matches(F.col("content"))).where(F.size("m") > 0)
-    return _findings(hit, "injection_scan", "HIGH", "content tries to override instructions", {"matches": F.to_json("m")})
+    return findings(hit, "injection_scan", "HIGH", {"matches": F.to_json("m")})
 
 
 def unicode_smuggling(w: DataFrame) -> DataFrame:
     hit = w.withColumn("m", tx.smuggled(F.col("content"))).where(F.size("m") > 0)
-    return _findings(hit, "unicode_smuggling", "HIGH", "content has hidden or direction-changing characters", {"code_points": F.to_json("m")})
+    return findings(hit, "unicode_smuggling", "HIGH", {"code_points": F.to_json("m")})
 
 
 def secrets_pii(w: DataFrame) -> DataFrame:
     hit = w.withColumn("s", tx.counts(F.col("content"), tx.SECRETS)).withColumn("p", tx.counts(F.col("content"), tx.PII)).where((F.size("s") > 0) | (F.size("p") > 0))
-    return _findings(hit, "secrets_pii", F.when(F.size("s") > 0, "HIGH").otherwise("MEDIUM"), "content holds secrets or personal data", {"secrets": F.to_json("s"), "pii": F.to_json("p")})
+    return findings(hit, "secrets_pii", F.when(F.size("s") > 0, "HIGH").otherwise("MEDIUM"), {"secrets": F.to_json("s"), "pii": F.to_json("p")})
 
 
 def in_window(rows: DataFrame, seconds: int, keys: tuple[str, ...] = ("namespace", "source_id"), ts: str = "ts", order: str = "seq") -> DataFrame:
@@ -60,96 +72,128 @@ def in_window(rows: DataFrame, seconds: int, keys: tuple[str, ...] = ("namespace
 
 
 def write_rate(w: DataFrame, seconds: int = 60, most: int = 5) -> DataFrame:
-    """Bursts of one source in one namespace; arrival times are the rows' created_at."""
+    """Bursts of one source in one namespace; arrival times are the rows' created_at, and a row whose time can't be read is no arrival."""
     timed = w.withColumn("ts", F.expr("try_to_timestamp(created_at)")).where("ts is not null")
     hit = in_window(timed, seconds).where(F.col("in_window") > most)
-    return _findings(hit, "write_rate", "MEDIUM", "source writes faster than allowed", {"source_id": F.col("source_id"), "writes_in_window": F.col("in_window"), "window_seconds": F.lit(seconds)})
+    return findings(hit, "write_rate", "MEDIUM", {"source_id": F.col("source_id"), "writes_in_window": F.col("in_window"), "window_seconds": F.lit(seconds)})
 
 
-def trust_posterior(w: DataFrame, penalty: float = 0.25, recovery: float = 0.1, block: int = 4096) -> DataFrame:
+def trust_posterior(w: DataFrame, penalty: float = 0.25, recovery: float = 0.1) -> DataFrame:
     """(record_id, source_id, anomalous, prior, posterior) of each write, folded in order of seq over each source.
 
     Both updates are affine in the score, p -> (1 - penalty) p and p -> p + (1 - p) recovery, so a run of rows is one
-    affine map. Blocks of rows of one source are folded to their maps in parallel, a window over these few maps gives
-    every block its first prior, and the rows of each block follow from there. A hot source is no single task.
+    affine map. Rows, without their texts, are ranged by (source, seq): each task folds what it has of a source, and tells the
+    driver only of the sources at its two ends, for no others go on elsewhere. So a source of any size is spread over
+    tasks, and any number of small ones share one. A null source is a source; a null first score is 0.5.
     """
-    rows = w.select("record_id", "source_id", "seq", "trust_score", (F.coalesce(F.col("trust_level").isin("untrusted", "quarantined"), F.lit(False)) | F.col("locator").isNull()).alias("anomalous"), F.expr(f"seq div {block}").alias("block"))
-
-    def maps(t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
-        a, b = 1.0, 0.0
-        for bad in t.column("anomalous").to_pylist():
-            a, b = (a * (1 - penalty), b * (1 - penalty)) if bad else (a * (1 - recovery), b * (1 - recovery) + recovery)
-        return pa.table({"source_id": t.column("source_id").slice(0, 1), "block": t.column("block").slice(0, 1), "a": [a], "b": [b], "first": pa.array([t.column("trust_score")[0].as_py()], pa.float64())})
-
-    spans = rows.groupBy("source_id", "block").applyInArrow(lambda t: maps(t), "source_id string, block long, a double, b double, first double")
-    up = Window.partitionBy("source_id").orderBy("block")
-    before = F.collect_list(F.struct("a", "b")).over(up.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.aggregate(before, F.first("first").over(up), lambda p, m: p * m["a"] + m["b"])
-    starts = spans.select("source_id", "block", start.alias("start"))
-
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by("seq")
-        p = t.column("start")[0].as_py()
-        prior, post = [], []
-        for bad in t.column("anomalous").to_pylist():
-            prior.append(p)
-            p = p * (1 - penalty) if bad else min(1.0, p + (1 - p) * recovery)
-            post.append(p)
-        return pa.table({"record_id": t.column("record_id"), "source_id": t.column("source_id"), "anomalous": t.column("anomalous"), "prior": pa.array(prior, pa.float64()), "posterior": pa.array(post, pa.float64())})
-
-    return rows.join(starts, ["source_id", "block"]).groupBy("source_id", "block").applyInArrow(lambda t: fold(t), "record_id string, source_id string, anomalous boolean, prior double, posterior double")
+    anomalous = F.coalesce(F.col("trust_level").isin("untrusted", "quarantined"), F.lit(False)) | F.col("locator").isNull()
+    rows = w.select("record_id", "source_id", "seq", F.coalesce(F.col("trust_score").cast("double"), F.lit(0.5)).alias("score"), anomalous.alias("anomalous"))
+    ranged = cut(rows.repartitionByRange("source_id", "seq").sortWithinPartitions("source_id", "seq").withColumn("part", F.spark_partition_id()))
+    lose, gain = 1 - penalty, 1 - recovery
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict] = []
+        for b in batches:
+            source, score, bad, part = (b.column(i).to_pylist() for i in (0, 1, 2, 3))
+            for i in range(len(source)):
+                if not kept or kept[-1]["source_id"] != source[i] or kept[-1]["part"] != part[i]:
+                    if len(kept) > 1 and kept[-2]["part"] == part[i]:
+                        kept.pop()  # neither the first nor the last source of its partition
+                    kept.append({"part": part[i], "at": len(kept), "source_id": source[i], "first": score[i], "a": 1.0, "b": 0.0})
+                r = kept[-1]
+                r["a"], r["b"] = (r["a"] * lose, r["b"] * lose) if bad[i] else (r["a"] * gain, r["b"] * gain + recovery)
+        if kept:
+            yield pa.RecordBatch.from_pylist(kept, schema=pa.schema([("part", pa.int32()), ("at", pa.int64()), ("source_id", pa.string()), ("first", pa.float64()), ("a", pa.float64()), ("b", pa.float64())]))
+
+    found = ranged.select("source_id", "score", "anomalous", "part").mapInArrow(ends, "part int, at long, source_id string, first double, a double, b double").collect()  # at most two rows a task
+    starts: dict[int, float] = {}
+    before: tuple[str | None, float] | None = None
+    for i, r in enumerate(sorted(found, key=lambda r: (r["part"], r["at"]))):
+        p = before[1] if before is not None and before[0] == r["source_id"] else r["first"]
+        starts.setdefault(r["part"], p)
+        before = r["source_id"], p * r["a"] + r["b"]
+    given = ranged.sparkSession.sparkContext.broadcast(starts)  # one number a task
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: tuple[int, str | None] | None = None
+        at, p = None, 0.0
+        for b in batches:
+            source, score, bad, part = (b.column(i).to_pylist() for i in (1, 2, 3, 4))
+            prior, post = [], []
+            for i in range(len(source)):
+                if here != (part[i], source[i]):
+                    p = given.value[part[i]] if at != part[i] else score[i]
+                    here, at = (part[i], source[i]), part[i]
+                prior.append(p)
+                p = p * lose if bad[i] else min(1.0, p + (1 - p) * recovery)
+                post.append(p)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(prior, pa.float64()), pa.array(post, pa.float64())], ["record_id", "source_id", "anomalous", "prior", "posterior"])
+
+    return ranged.select("record_id", "source_id", "score", "anomalous", "part").mapInArrow(fold, "record_id string, source_id string, anomalous boolean, prior double, posterior double")
 
 
 def trust_scoring(w: DataFrame, penalty: float = 0.25, recovery: float = 0.1) -> DataFrame:
     hit = trust_posterior(w, penalty, recovery).where("anomalous")
     severity = F.when(F.col("posterior") < 0.3, "HIGH").when(F.col("posterior") < 0.6, "MEDIUM").otherwise("INFO")
-    return _findings(hit, "trust_scoring", severity, "anomalous write lowers the trust in its source", {"source_id": F.col("source_id"), "prior": F.round("prior", 6), "posterior": F.round("posterior", 6)})
+    return findings(hit, "trust_scoring", severity, {"source_id": F.col("source_id"), "prior": tx.rounded(F.col("prior"), 6), "posterior": tx.rounded(F.col("posterior"), 6)})
 
 
-def drift_scores(w: DataFrame, near: float = 0.5, block: int = 2048) -> DataFrame:
+def drift_scores(w: DataFrame, near: float = 0.5, tile: int = 16_384, embedder: tx.Embedder = tx.DEFAULT) -> DataFrame:
     """(record_id, source_id, similarity) of suspect writes that have earlier trusted neighbours in their namespace: cosine with the neighbours' centroid.
 
-    Suspect and trusted writes of a namespace meet in pairs of blocks; a task multiplies two blocks as dense matrices
-    and returns the sum of each suspect's neighbours there, so sums and not pairs are shuffled.
+    The suspect and the trusted writes of a namespace are cut into tiles of about ``tile`` vectors, by hash. A task
+    multiplies two tiles as dense matrices and returns the sum of each suspect's neighbours there, so sums and not
+    pairs are shuffled, and a vector is sent to as many tasks as the other side has tiles: what is shuffled grows as
+    suspects times trusted over ``tile``, sparse. Every pair is multiplied, as every one may count.
     """
-    cells = w.where(F.col("trust_level").isin(*TRUSTED, *SUSPECT)).select("record_id", "source_id", "namespace", "seq", F.col("trust_level").isin(*TRUSTED).alias("trusted"), F.expr(f"seq div {block}").alias("b"), tx.cells(F.col("content")).alias("e"))
-    rows = cells.where(F.size("e") > 0).withColumn("size", tx.norm(F.col("e"))).select("record_id", "source_id", "namespace", "seq", "trusted", "b", F.col("e.bucket").alias("buckets"), F.transform("e.n", lambda n: n / F.col("size")).alias("weights"))
+    cells = w.where(F.col("trust_level").isin(*TRUSTED, *SUSPECT)).select("record_id", "source_id", "namespace", "seq", F.col("trust_level").isin(*TRUSTED).alias("trusted"), tx.cells(F.col("content"), embedder).alias("e"))
+    rows = cells.where(F.size("e") > 0).withColumn("size", tx.norm(F.col("e"), embedder)).select("record_id", "source_id", "namespace", "seq", "trusted", F.col("e.bucket").alias("buckets"), F.transform("e.n", lambda n: n / F.col("size")).alias("weights"))
     rows = cut(rows)
-    again = rows.select(*[F.col(c).alias(c) for c in rows.columns])
-    blocks = rows.select("namespace", "trusted", "b").distinct()
-    pairs = blocks.where("not trusted").select("namespace", F.col("b").alias("sb")).join(blocks.where("trusted").select("namespace", F.col("b").alias("tb")), "namespace").where("tb <= sb")
-    left = rows.where("not trusted").withColumnRenamed("b", "sb").join(pairs, ["namespace", "sb"])
-    right = again.where("trusted").withColumnRenamed("b", "tb").join(pairs.select(*[F.col(c).alias(c) for c in pairs.columns]), ["namespace", "tb"])
+    suspect = rows.where("not trusted").drop("trusted")
+    trusted = rows.where("trusted").select(*[F.col(c).alias(c) for c in ("namespace", "buckets", "weights", "seq")])
+    tiles = lambda df, name: df.groupBy("namespace").agg(F.ceil(F.count("*") / tile).cast("long").alias(name))
+    kinds = tiles(suspect, "st").join(tiles(trusted, "tt"), "namespace")
+    left = suspect.join(kinds, "namespace").withColumn("s", F.pmod(F.xxhash64("record_id", "seq"), "st")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tt") - 1))).drop("st", "tt")
+    right = trusted.join(kinds.select(*[F.col(c).alias(c) for c in kinds.columns]), "namespace").withColumn("t", F.pmod(F.xxhash64("seq"), "tt")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("st") - 1))).drop("st", "tt")
 
     def dense(t: pa.Table) -> np.ndarray:
-        out = np.zeros((len(t), tx.DIM))
-        for i, (b, x) in enumerate(zip(t.column("buckets").to_pylist(), t.column("weights").to_pylist())):
-            out[i, b] = x
+        out = np.zeros((len(t), embedder.dim))
+        buckets = t.column("buckets").combine_chunks()
+        at = np.repeat(np.arange(len(t)), np.diff(buckets.offsets.to_numpy()))
+        out[at, buckets.flatten().to_numpy()] = t.column("weights").combine_chunks().flatten().to_numpy()
         return out
 
     def meet(s: pa.Table, t: pa.Table) -> pa.Table:
         kind = pa.schema([("record_id", pa.string()), ("source_id", pa.string()), ("n", pa.int64()), ("total", pa.list_(pa.float64())), ("own", pa.list_(pa.float64()))])
         if not len(s) or not len(t):
             return kind.empty_table()
-        t = t.sort_by("seq")
-        x, y = dense(s), dense(t)
-        hit = ((x @ y.T) >= near) & (t.column("seq").to_numpy() < s.column("seq").to_numpy()[:, None])
-        some = np.flatnonzero(hit.any(axis=1))
-        take = pa.array(some)
-        return pa.Table.from_arrays([s.column("record_id").take(take), s.column("source_id").take(take), pa.array(hit[some].sum(axis=1), pa.int64()), pa.array((hit[some].astype(float) @ y).tolist(), kind.field("total").type), pa.array(x[some].tolist(), kind.field("own").type)], schema=kind)
-
-    sums = left.groupBy("namespace", "sb", "tb").cogroup(right.groupBy("namespace", "sb", "tb")).applyInArrow(lambda s, t: meet(s, t), "record_id string, source_id string, n long, total array<double>, own array<double>")
+        y, seq = dense(t), t.column("seq").to_numpy()
+        out = []
+        for a in range(0, len(s), 2048):
+            part = s.slice(a, 2048)
+            x = dense(part)
+            total, n = np.zeros_like(x), np.zeros(len(x), np.int64)
+            for b in range(0, len(y), 4096):
+                hit = ((x @ y[b : b + 4096].T) >= near) & (seq[b : b + 4096] < part.column("seq").to_numpy()[:, None])
+                total += hit.astype(float) @ y[b : b + 4096]
+                n += hit.sum(axis=1)
+            some = np.flatnonzero(n)
+            take = pa.array(some)
+            lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, embedder.dim), pa.int32()), pa.array(m.ravel()))
+            out.append(pa.Table.from_arrays([part.column("record_id").take(take), part.column("source_id").take(take), pa.array(n[some], pa.int64()), lists(total[some]), lists(x[some])], schema=kind))
+        return pa.concat_tables(out)
+
+    sums = left.groupBy("namespace", "s", "t").cogroup(right.groupBy("namespace", "s", "t")).applyInArrow(lambda s, t: meet(s, t), "record_id string, source_id string, n long, total array<double>, own array<double>")
     total = sums.groupBy("record_id", "source_id").agg(F.collect_list("total").alias("ts"), F.first("own").alias("own"))
-    added = F.aggregate("ts", F.array_repeat(F.lit(0.0), tx.DIM), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    added = F.aggregate("ts", F.array_repeat(F.lit(0.0), embedder.dim), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
     got = total.withColumn("c", added)
     return got.select("record_id", "source_id", (dot(F.col("c"), F.col("own")) / F.sqrt(dot(F.col("c"), F.col("c")))).alias("similarity"))
 
 
-def drift(w: DataFrame, near: float = 0.5, contradiction: float = 0.8) -> DataFrame:
-    hit = drift_scores(w, near).where(F.col("similarity") < contradiction)
-    return _findings(hit, "drift", "HIGH", "write departs from earlier trusted writes on its subject", {"source_id": F.col("source_id"), "similarity": F.round("similarity", 4)})
+def drift(w: DataFrame, near: float = 0.5, contradiction: float = 0.8, embedder: tx.Embedder = tx.DEFAULT) -> DataFrame:
+    hit = drift_scores(w, near, embedder=embedder).where(F.col("similarity") < contradiction)
+    return findings(hit, "drift", "HIGH", {"source_id": F.col("source_id"), "similarity": tx.rounded(F.col("similarity"), 4)})
 
 
 REGISTRY: dict[str, Detector] = {}

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palimpsest.functions.records import LEDGER
-from palimpsest.operators import chain
+from palimpsest.functions import text as tx
+from palimpsest.functions.records import parse_payloads
 from palimpsest.operators import detectors as det
+from palimpsest.store import Ledger
 
 STATELESS = ("provenance_missing", "injection_scan", "unicode_smuggling", "secrets_pii")
 
@@ -57,7 +59,8 @@ def trust(writes: DataFrame, penalty: float = 0.25, recovery: float = 0.1) -> Da
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("seq")
-        p = state.get[0] if state.exists else float(rows["trust_score"].iloc[0])
+        first = rows["trust_score"].iloc[0]
+        p = state.get[0] if state.exists else 0.5 if pd.isna(first) else float(first)
         out = []
         for r in rows.itertuples():
             before = p
@@ -71,27 +74,18 @@ def trust(writes: DataFrame, penalty: float = 0.25, recovery: float = 0.1) -> Da
     return writes.groupBy("source_id").applyInPandasWithState(step, "source_id string, record_id string, prior double, posterior double", "p double", "append", GroupStateTimeout.NoTimeout)
 
 
-def drift(writes: DataFrame, near: float = 0.5, contradiction: float = 0.8) -> DataFrame:
+def drift(writes: DataFrame, near: float = 0.5, contradiction: float = 0.8, embedder: tx.Embedder = tx.DEFAULT) -> DataFrame:
     """Suspect writes of a stream that depart from earlier trusted ones of their namespace.
 
     State holds the trusted unit vectors of a namespace, 2 kB each; it needs a store that spills, and a namespace that grows without bound should be replayed in batch.
     """
-    import numpy as np
-
-    from palimpsest.functions.text import DIM, cells_of
-
-    def embed(text: str) -> np.ndarray:
-        v = np.zeros(DIM)
-        for at, n in cells_of(text).items():
-            v[at] = n
-        size = np.sqrt(v @ v)
-        return v / size if size else v
-
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = np.frombuffer(state.get[0]).reshape(-1, DIM) if state.exists else np.zeros((0, DIM))
+        seen = np.frombuffer(state.get[0]).reshape(-1, embedder.dim) if state.exists else np.zeros((0, embedder.dim))
         out = []
         for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            v = embed(r.content)
+            v = embedder.unit(r.content)
+            if v is None:
+                continue
             if r.trust_level in det.SUSPECT and len(seen):
                 close = seen[seen @ v >= near]
                 if len(close):
@@ -99,7 +93,7 @@ def drift(writes: DataFrame, near: float = 0.5, contradiction: float = 0.8) -> D
                     s = float(v @ c / np.sqrt(c @ c))
                     if s < contradiction:
                         out.append((key[0], r.record_id, s))
-            if r.trust_level in det.TRUSTED and v.any():
+            if r.trust_level in det.TRUSTED:
                 seen = np.concatenate([seen, v[None]])
         state.update((seen.tobytes(),))
         yield pd.DataFrame(out, columns=["namespace", "record_id", "similarity"])
@@ -107,26 +101,41 @@ def drift(writes: DataFrame, near: float = 0.5, contradiction: float = 0.8) -> D
     return writes.groupBy("namespace").applyInPandasWithState(step, "namespace string, record_id string, similarity double", "vectors binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def commit(raw: DataFrame, folder: str, checkpoint: str, seed: bytes, digest: str = "blake3") -> StreamingQuery:
+def commit(raw: DataFrame, folder: str, checkpoint: str, seed: bytes, digest: str = "blake3", *, every: int = 1, check_ids: bool | None = None, detectors: Sequence[str] = STATELESS) -> StreamingQuery:
     """Append a stream (order, record_id, kind, namespace, payload_json, created_at) to the ledger in ``folder``, micro-batch by micro-batch.
 
-    One query commits at a time, for a chain has one end. A batch that comes again after a failure is recognised by its
-    record ids and isn't linked twice.
+    One query commits at a time, for a chain has one end. A batch costs by its own size: the ledger's head has the last
+    hash, the Merkle tree and the number of the last batch of each ``checkpoint`` folder. A batch that comes again after a
+    failure is known by its number or, if its rows were written and its number wasn't, by its record ids. Ids are
+    compared with the whole ledger (one column) where ``check_ids``; by default that is where a stream, with a new checkpoint folder,
+    meets a ledger that has rows already and so may bring them again. A batch that passes a multiple of ``every`` rows signs a root.
+    Findings of ``detectors`` (of those that look at one write only; the others have streams of their own) go to ``folder``/findings.
     """
-
-    def one(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    spark = raw.sparkSession
+    ledger = Ledger(spark, folder, seed, every=every, digest=digest)
+    head = ledger.head
+    check = (checkpoint not in head["streams"] and head["seq"] > 0) or bool(head["streams"].get(f"{checkpoint}#ids")) if check_ids is None else check_ids
+
+    def one(batch: DataFrame, number: int) -> None:
+        last = ledger.head["streams"].get(checkpoint)
+        if last is not None and number <= last:
+            return
+        known = ledger.rows().select("seq", "record_id")
+        if check:
+            ledger.head["streams"][f"{checkpoint}#ids"] = 1
+        else:  # rows that a crash left without a number
+            known = known.where(F.col("seq") > ledger.numbered)
+        batch = batch.join(known.select("record_id"), "record_id", "left_anti").persist()
         try:
-            have = spark.read.schema(LEDGER).parquet(folder)
-            last = have.agg(F.max_by(F.struct("seq", "entry_hash"), "seq").alias("r")).first()["r"]
-            batch = batch.join(have.select("record_id"), "record_id", "left_anti")
-        except Exception as e:  # the folder doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = None
-        if not batch.isEmpty():
-            chain.append(batch, seed, after=(last["seq"], last["entry_hash"]) if last else None, digest=digest).write.mode("append").parquet(folder)
+            if detectors:
+                w = parse_payloads(batch).where("kind = 'write'")
+                pack = None
+                for name in detectors:
+                    found = det.REGISTRY[name](w)
+                    pack = found if pack is None else pack.unionByName(found)
+                pack.write.mode("append").parquet(f"{folder}/findings")
+            ledger.append_table(batch, (checkpoint, number))
+        finally:
+            batch.unpersist()
 
     return raw.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-

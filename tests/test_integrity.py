@@ -12,6 +12,7 @@ from palimpsest.operators import chain
 
 SEED = bytes(range(32))
 KEY = ed25519.public_key(SEED)
+ONE = lambda x: DIGESTS["blake3"]([x])[0]
 
 
 def ledger(spark, n=5, digest="blake3"):
@@ -170,19 +171,19 @@ def test_checkpoint_cadence():
 def test_peaks_give_the_root_of_one_tree(n):
     leaves, peaks = [f"leaf-{i}".encode() for i in range(n)], []
     for x in leaves:
-        chain.push(peaks, 1, DIGESTS["blake3"]([chain.leaf(x)])[0])
-    assert chain.peaks_root(peaks) == chain.compute_root(leaves) and len(peaks) == bin(n).count("1")
+        chain.push(peaks, 1, ONE(chain.leaf(x)), ONE)
+    assert chain.peaks_root(peaks, ONE) == chain.compute_root(leaves) and len(peaks) == bin(n).count("1")
 
 
 @pytest.mark.parametrize("first,last", [(1, 3), (1, 16), (3, 21), (4, 4), (5, 8)])
 def test_new_rows_go_on_with_a_tree(spark, first, last):
     leaves, peaks = [f"leaf-{i}".encode() for i in range(1, last + 1)], []
     for x in leaves[: first - 1]:
-        chain.push(peaks, 1, DIGESTS["blake3"]([chain.leaf(x)])[0])
+        chain.push(peaks, 1, ONE(chain.leaf(x)), ONE)
     rows = spark.createDataFrame([(i, f"leaf-{i}") for i in range(first, last + 1)], "seq long, entry_hash string").repartition(3)
     for size, node in chain.new_nodes(rows, block=4):
-        chain.push(peaks, size, node)
-    assert chain.peaks_root(peaks) == chain.compute_root(leaves)
+        chain.push(peaks, size, node, ONE)
+    assert chain.peaks_root(peaks, ONE) == chain.compute_root(leaves)
 
 
 def test_tampering_is_found_in_any_storage_order(spark):
