@@ -145,6 +145,16 @@ def leaf(data: bytes) -> bytes:
     return b"\x00" + data
 
 
+def leaves(ledger: DataFrame, digest: str = "blake3") -> DataFrame:
+    """(seq, leaf): the leaf hash of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(DIGESTS[digest]([leaf(x.encode()) for x in b.column(1).to_pylist()]), pa.binary())], ["seq", "leaf"])
+
+    return ledger.select("seq", "entry_hash").mapInArrow(run, "seq long, leaf binary")
+
+
 def _reduce(nodes: list[bytes], digest: str) -> bytes:
     """Pairs are hashed level by level; one left over moves up unchanged."""
     if not nodes:

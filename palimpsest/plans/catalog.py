@@ -323,6 +323,18 @@ def det_write_rate_ties(spark: SparkSession, sf: str) -> DataFrame:
     return _events(spark, sf, "date_trunc('hour', ts)")
 
 
+_D5 = """SELECT 'write_rate' AS detector_name, 'MEDIUM' AS severity, record_id, source_id, in_window AS writes_in_window FROM (
+  SELECT a.record_id, a.source_id, count(*) AS in_window FROM ws a JOIN ws b ON a.namespace = b.namespace AND a.source_id IS NOT DISTINCT FROM b.source_id
+    AND b.created_at::TIMESTAMP >= a.created_at::TIMESTAMP - INTERVAL {seconds} SECOND AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.seq <= a.seq)) GROUP BY ALL) WHERE in_window > {most}"""
+
+
+@query(_W + "\n" + _D5.format(seconds=3600, most=5))
+def det_write_rate_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The detector itself over all writes: more than five of one source in one namespace within an hour."""
+    found = det.write_rate(det.writes(fixture.ledger(spark, sf)), 3600, 5)
+    return found.select("detector_name", "severity", "record_id", F.col("evidence")["source_id"].alias("source_id"), F.col("evidence")["writes_in_window"].cast("long").alias("writes_in_window"))
+
+
 _BAD = "(coalesce(trust_level IN ('untrusted', 'quarantined'), false) OR locator IS NULL)"
 _D6 = f"""SELECT record_id, source_id, prior, posterior FROM (
   SELECT record_id, source_id, bad, CASE WHEN k = 1 THEN first ELSE list_reduce(list_prepend(first, list_transform(seen[1:k-1], lambda x: x::DOUBLE)), lambda p, x: CASE WHEN x = 1 THEN p * 0.75 ELSE least(1.0, p + (1 - p) * 0.1) END) END AS prior,
@@ -331,11 +343,18 @@ _D6 = f"""SELECT record_id, source_id, prior, posterior FROM (
     FROM ws WINDOW o AS (PARTITION BY source_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) WHERE bad"""
 
 
-@query(_W + f"\nSELECT record_id, source_id, (prior * 1000003)::BIGINT AS prior_scaled, (posterior * 1000003)::BIGINT AS posterior_scaled FROM ({_D6})")
+_LEVEL6 = "CASE WHEN posterior < 0.3 THEN 'HIGH' WHEN posterior < 0.6 THEN 'MEDIUM' ELSE 'INFO' END"
+
+
+@query(_W + f"\nSELECT record_id, source_id, {_LEVEL6} AS severity, (prior * 1000003)::BIGINT AS prior_scaled, (posterior * 1000003)::BIGINT AS posterior_scaled, true AS evidence_fits FROM ({_D6})")
 def det_trust_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    scored = det.trust_posterior(det.writes(fixture.ledger(spark, sf)), block=64).where("anomalous")
+    """Findings with severity; their rounded evidence beside the scores that it was rounded from."""
+    w = cut(det.writes(fixture.ledger(spark, sf)))
+    scored = det.trust_posterior(w).select(F.col("record_id").alias("scored"), "source_id", "prior", "posterior")
+    found = det.trust_scoring(w).select("record_id", "severity", "evidence").join(scored, F.col("record_id") == F.col("scored"))
     whole = lambda c: F.rint(F.col(c) * 1000003).cast("long").alias(f"{c}_scaled")
-    return scored.select("record_id", "source_id", whole("prior"), whole("posterior"))
+    near = lambda c: F.abs(F.col("evidence")[c].cast("double") - F.col(c)) < 5.001e-7
+    return found.select("record_id", "source_id", "severity", whole("prior"), whole("posterior"), (near("prior") & near("posterior") & F.col("evidence")["source_id"].eqNullSafe(F.col("source_id"))).alias("evidence_fits"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP)
@@ -383,9 +402,7 @@ def drift_events(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("timestamp", "seq", "record_id", "source_id", "trust_level", F.rint(F.col("similarity") * 1000).cast("long").alias("similarity_thousandths"))
 
 
-@query(
-    _W
-    + f""",
+_D7 = f""",
 cells AS ({_cells("ws", "record_id", "content")}),
 norms AS (SELECT record_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM cells GROUP BY 1),
 pairs AS (SELECT s.record_id, t.record_id AS other FROM (SELECT * FROM ws WHERE trust_level IN ('untrusted', 'quarantined', 'semi_trusted')) s
@@ -393,33 +410,96 @@ pairs AS (SELECT s.record_id, t.record_id AS other FROM (SELECT * FROM ws WHERE
   JOIN cells a ON a.record_id = s.record_id JOIN cells b ON b.record_id = t.record_id AND a.bucket = b.bucket JOIN norms x ON x.record_id = s.record_id JOIN norms y ON y.record_id = t.record_id
   GROUP BY 1, 2 HAVING sum(a.n * b.n)::DOUBLE / (any_value(x.norm) * any_value(y.norm)) >= 0.5),
 m AS (SELECT p.record_id, c.bucket, sum(c.n / norm) AS v FROM pairs p JOIN cells c ON c.record_id = p.other JOIN norms z ON z.record_id = p.other GROUP BY 1, 2),
-sc AS (SELECT m.record_id, sum(coalesce(c.n, 0) / norms.norm * v) / sqrt(sum(v * v)) AS similarity FROM m JOIN norms ON norms.record_id = m.record_id LEFT JOIN cells c ON c.record_id = m.record_id AND c.bucket = m.bucket GROUP BY 1)
-SELECT record_id, source_id, (similarity * 1000)::BIGINT AS similarity_thousandths FROM sc JOIN ws USING (record_id) WHERE similarity < 0.8"""
-)
+sc AS (SELECT m.record_id, sum(coalesce(c.n, 0) / norms.norm * v) / sqrt(sum(v * v)) AS similarity FROM m JOIN norms ON norms.record_id = m.record_id LEFT JOIN cells c ON c.record_id = m.record_id AND c.bucket = m.bucket GROUP BY 1)"""
+
+
+@query(_W + _D7 + "\nSELECT record_id, source_id, 'HIGH' AS severity, (similarity * 1000)::BIGINT AS similarity_thousandths, true AS evidence_fits FROM sc JOIN ws USING (record_id) WHERE similarity < 0.8")
 def det_drift(spark: SparkSession, sf: str) -> DataFrame:
-    got = det.drift_scores(det.writes(fixture.ledger(spark, sf))).where("similarity < 0.8")
-    return got.select("record_id", "source_id", F.rint(F.col("similarity") * 1000).cast("long").alias("similarity_thousandths"))
+    """Findings with severity; their rounded evidence beside the similarity that it was rounded from."""
+    w = cut(det.writes(fixture.ledger(spark, sf)))
+    scored = det.drift_scores(w).select(F.col("record_id").alias("scored"), "source_id", "similarity")
+    found = det.drift(w).select("record_id", "severity", "evidence").join(scored, F.col("record_id") == F.col("scored"))
+    fits = (F.abs(F.col("evidence")["similarity"].cast("double") - F.col("similarity")) < 5.001e-5) & F.col("evidence")["source_id"].eqNullSafe(F.col("source_id"))
+    return found.select("record_id", "source_id", "severity", F.rint(F.col("similarity") * 1000).cast("long").alias("similarity_thousandths"), fits.alias("evidence_fits"))
+
+
+_PACK = " UNION ALL ".join(f"SELECT detector_name, severity FROM ({d})" for d in (_D1, _D2, _D3, _D4, _D5.format(seconds=60, most=5), f"SELECT 'trust_scoring' AS detector_name, {_LEVEL6} AS severity FROM ({_D6})", "SELECT 'drift' AS detector_name, 'HIGH' AS severity FROM sc WHERE similarity < 0.8"))
 
 
-@query(_W + f"\nSELECT detector_name, severity, CASE severity WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM (SELECT detector_name, severity FROM ({_D1}) UNION ALL SELECT detector_name, severity FROM ({_D2}) UNION ALL SELECT detector_name, severity FROM ({_D3}) UNION ALL SELECT detector_name, severity FROM ({_D4})) GROUP BY ALL")
+@query(_W + _D7 + f"\nSELECT detector_name, severity, CASE severity WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END AS level, count(*) AS n FROM ({_PACK}) GROUP BY ALL")
 def findings_by_severity(spark: SparkSession, sf: str) -> DataFrame:
-    found = det.run_pack(fixture.ledger(spark, sf), ("provenance_missing", "injection_scan", "unicode_smuggling", "secrets_pii"))
+    """What the default pack of seven detectors finds."""
+    found = det.run_pack(cut(fixture.ledger(spark, sf)))
     level = F.when(F.col("severity").isin("HIGH", "CRITICAL"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("note")
     return found.groupBy("detector_name", "severity", level.alias("level")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, sha256(coalesce(text, '') || CASE WHEN doc_id = 0 THEN '' ELSE sha256((doc_id - 1)::VARCHAR) END) AS entry_hash, doc_id = 0 OR doc_id % 5 <> 0 AS linked FROM documents")
-def chain_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Entry hashes from payloads and stored links in native SHA-256, and whether the stored link is that of the row before (every fifth is broken)."""
-    prev = F.when(F.col("doc_id") == 0, F.lit("")).otherwise(F.sha2((F.col("doc_id") - 1).cast("string").cast("binary"), 256))
+#: The chain over all documents in SHA-256, row by row as it is defined.
+_LINKS = """WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY doc_id) AS seq, to_json({'kind': 'write', 'record_id': 'w' || doc_id, 'content': text})::VARCHAR AS payload FROM documents),
+c(seq, payload, entry_hash, prev_hash) AS (SELECT seq, payload, 'sha256:' || sha256(payload), NULL::VARCHAR FROM p WHERE seq = 1
+  UNION ALL SELECT p.seq, p.payload, 'sha256:' || sha256(p.payload || c.entry_hash), c.entry_hash FROM c JOIN p ON p.seq = c.seq + 1)"""
+
+
+def _sha_chain(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents")
-    stored = F.when((F.col("doc_id") > 0) & (F.col("doc_id") % 5 == 0), F.lit("broken")).otherwise(prev)
-    return d.select("doc_id", F.sha2(F.concat(F.coalesce("text", F.lit("")), prev).cast("binary"), 256).alias("entry_hash"), (stored == prev).alias("linked"))
+    name = F.concat(F.lit("w"), F.col("doc_id").cast("string"))
+    payload = F.to_json(F.struct(F.lit("write").alias("kind"), name.alias("record_id"), F.col("text").alias("content")))
+    return cut(chain.append(d.select(F.col("doc_id").alias("order"), name.alias("record_id"), F.lit("write").alias("kind"), F.col("lang").alias("namespace"), payload.alias("payload_json"), F.lit("2024-01-01T00:00:00+00:00").alias("created_at")), _SEED, digest="sha256"))
 
 
-@query("SELECT doc_id, sha256('\\x00'::BLOB || encode('entry-' || doc_id)) AS leaf_hash FROM documents")
+@query(_LINKS + "\nSELECT seq, entry_hash, prev_hash FROM c")
+def chain_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashes and links of a chain over all documents, as the engine builds it."""
+    return _sha_chain(spark, sf).select("seq", "entry_hash", "prev_hash")
+
+
+@query(
+    _LINKS
+    + """,
+t AS (SELECT 'edited' AS tampering, seq, CASE WHEN seq % 50 = 5 THEN '{}' ELSE payload END AS payload, entry_hash, prev_hash FROM c
+  UNION ALL SELECT 'removed', seq, payload, entry_hash, prev_hash FROM c WHERE seq % 70 <> 7
+  UNION ALL SELECT 'linked wrongly', seq, payload, CASE WHEN seq % 90 = 9 THEN 'sha256:' || sha256(payload || 'sha256:00') ELSE entry_hash END, CASE WHEN seq % 90 = 9 THEN 'sha256:00' ELSE prev_hash END FROM c
+  UNION ALL SELECT 'none', seq, payload, entry_hash, prev_hash FROM c),
+f AS (SELECT *, 'sha256:' || sha256(payload || coalesce(prev_hash, '')) <> entry_hash AS edit, prev_hash IS DISTINCT FROM lag(entry_hash) OVER (PARTITION BY tampering ORDER BY seq) AS gap, row_number() OVER (PARTITION BY tampering ORDER BY seq) - 1 AS before FROM t),
+w AS (SELECT tampering, arg_min({'seq': seq, 'rows': before, 'kind': CASE WHEN edit THEN 'edit' ELSE 'gap' END}, seq) FILTER (WHERE edit OR gap) AS x, count(*) AS n FROM f GROUP BY tampering)
+SELECT tampering, x IS NULL AS ok, coalesce(x.rows, n) AS rows_checked, x.seq AS seq, x.kind AS kind FROM w UNION ALL SELECT 'other key', false, 0, 1, 'forgery'"""
+)
+def chain_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """The first divergence that the engine finds in tampered copies of a whole chain: many rows are tampered with in each."""
+    rows, key, other = _sha_chain(spark, sf), ed25519.public_key(_SEED), ed25519.public_key(bytes(32))
+    on = lambda n: F.col("seq") % n == n // 10
+    relinked = F.concat(F.lit("sha256:"), F.sha2(F.concat("payload_json", F.lit("sha256:00")).cast("binary"), 256))
+    cases = {
+        "none": (rows, key),
+        "edited": (rows.withColumn("payload_json", F.when(on(50), F.lit("{}")).otherwise(F.col("payload_json"))), key),
+        "removed": (rows.where(~on(70)), key),
+        "linked wrongly": (rows.withColumn("entry_hash", F.when(on(90), relinked).otherwise(F.col("entry_hash"))).withColumn("prev_hash", F.when(on(90), F.lit("sha256:00")).otherwise(F.col("prev_hash"))), None),
+        "other key": (rows, other),
+    }
+    out = None
+    for name, (ledger, k) in cases.items():
+        r = chain.verify_chain(ledger, k, "sha256").select(F.lit(name).alias("tampering"), "ok", "rows_checked", "seq", "kind")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query(_LINKS + "\nSELECT seq, sha256('\\x00'::BLOB || encode(entry_hash)) AS leaf_hash FROM c")
 def merkle_leaf_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.sha2(F.concat(F.unhex(F.lit("00")), F.concat(F.lit("entry-"), F.col("doc_id").cast("string")).cast("binary")), 256).alias("leaf_hash"))
+    """The leaf of every row of the chain."""
+    return chain.leaves(_sha_chain(spark, sf), "sha256").select("seq", F.lower(F.hex("leaf")).alias("leaf_hash"))
+
+
+@query(
+    _LINKS
+    + """,
+up(level, i, h) AS (SELECT 0, seq - 1, unhex(sha256('\\x00'::BLOB || encode(entry_hash))) FROM c
+  UNION ALL SELECT level + 1, i // 2, CASE WHEN count(*) = 2 THEN unhex(sha256('\\x01'::BLOB || first(h ORDER BY i) || last(h ORDER BY i))) ELSE first(h ORDER BY i) END FROM up GROUP BY level, i // 2 HAVING (SELECT count(*) FROM up) > 1)
+SELECT 'sha256:' || lower(hex(h)) AS root, (SELECT count(*) FROM c) AS leaf_count FROM up WHERE level = (SELECT max(level) FROM up)"""
+)
+def merkle_root(spark: SparkSession, sf: str) -> DataFrame:
+    """The root over the whole chain."""
+    root, n = chain.merkle_root(_sha_chain(spark, sf), digest="sha256", block=64)
+    return spark.createDataFrame([(f"sha256:{root.hex()}", n)], "root string, leaf_count long")
 
 
 @query("SELECT 'write' AS kind, text AS content, CASE WHEN doc_id % 2 = 0 THEN 'mem-' || doc_id END AS memory_id, NULL::VARCHAR AS query, NULL::VARCHAR AS returned FROM documents UNION ALL SELECT 'retrieval', NULL, NULL, text, 'mem-' || turn || '|mem-' || conv_id FROM conversations WHERE role = 'user'")
@@ -482,18 +562,6 @@ def chain_verified(spark: SparkSession, sf: str) -> DataFrame:
     return chain.verify_chain(_chain(spark, sf), ed25519.public_key(_SEED)).select("ok", "rows_checked")
 
 
-@query("SELECT * FROM (VALUES ('edited', false, 4, 5, 'edit'), ('removed', false, 6, 8, 'gap'), ('other key', false, 0, 1, 'forgery')) t(tampering, ok, rows_checked, seq, kind)")
-def chain_divergence(spark: SparkSession, sf: str) -> DataFrame:
-    """The first divergence of three tampered copies."""
-    rows, key = _chain(spark, sf), ed25519.public_key(_SEED)
-    cases = {"edited": (rows.withColumn("payload_json", F.when(F.col("seq") == 5, F.lit("{}")).otherwise(F.col("payload_json"))), key), "removed": (rows.where("seq <> 7"), key), "other key": (rows, ed25519.public_key(bytes(32)))}
-    out = None
-    for name, (ledger, k) in cases.items():
-        r = chain.verify_chain(ledger, k).select(F.lit(name).alias("tampering"), "ok", "rows_checked", "seq", "kind")
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
 @query("SELECT 'whole' AS state, true AS ok, count(*) AS leaf_count, 'ok' AS detail FROM documents UNION ALL SELECT 'cut short', false, count(*), 'ledger has ' || (count(*) - 3) || ' rows but checkpoint committed ' || count(*) FROM documents UNION ALL SELECT 'changed', false, count(*), 'recomputed root does not match signed checkpoint' FROM documents")
 def merkle_verified(spark: SparkSession, sf: str) -> DataFrame:
     """The latest checkpoint against the whole ledger, one without its last rows and one with a changed hash."""
