@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 _P = 2**255 - 19
 _L = 2**252 + 27742317777372353535851937790883648493
@@ -20,15 +21,6 @@ def _add(a: Point, b: Point) -> Point:
     return e * f % _P, g * h % _P, f * g % _P, e * h % _P
 
 
-def _double(a: Point) -> Point:
-    x, y, z = a[0] * a[0] % _P, a[1] * a[1] % _P, 2 * a[2] * a[2] % _P
-    h = x + y
-    e = h - (a[0] + a[1]) ** 2 % _P
-    g = x - y
-    f = z + g
-    return e * f % _P, g * h % _P, f * g % _P, e * h % _P
-
-
 def _x(y: int, odd: int) -> int | None:
     xx = (y * y - 1) * pow(_D * y * y + 1, -1, _P) % _P
     x = pow(xx, (_P + 3) // 8, _P)
@@ -45,35 +37,49 @@ _BX = _x(_BY, 0)
 _BASE: Point = (_BX, _BY, 1, _BX * _BY % _P)
 
 
-def _table(p: Point) -> list[Point]:
-    out = [_ZERO, p]
-    for _ in range(14):
-        out.append(_add(out[-1], p))
-    return out
-
-
-def _rows(p: Point) -> list[list[Point]]:
-    """Multiples of a point for each place of four bits, so that a product takes 64 additions and no doubling."""
-    out = []
-    for _ in range(64):
-        out.append(_table(p))
-        p = _double(_double(_double(_double(p))))
-    return out
-
-
-def _times(k: int, rows: list[list[Point]]) -> Point:
-    out = _ZERO
-    for row in rows:
-        if k & 15:
-            out = _add(out, row[k & 15])
-        k >>= 4
-    return out
-
-
-_BASES: list[list[Point]] = []
+#: A point as (y + x, y - x, 2dxy) with z = 1, which makes adding it cheaper.
+Ready = tuple[int, int, int]
+
+
+def _rows(p: Point) -> list[list[Ready]]:
+    """Multiples of a point for each place of eight bits, so that a product takes 32 additions and no doubling."""
+    points = []
+    for _ in range(32):
+        last = p
+        for _ in range(255):
+            points.append(last)
+            last = _add(last, p)
+        p = last  # 256 times the point
+    # One inversion for all: running products there and back.
+    before, run = [], 1
+    for q in points:
+        before.append(run)
+        run = run * q[2] % _P
+    back, ready = pow(run, -1, _P), [(1, 1, 0)] * len(points)
+    for i in range(len(points) - 1, -1, -1):
+        x, y, z, _ = points[i]
+        inverse, back = back * before[i] % _P, back * z % _P
+        x, y = x * inverse % _P, y * inverse % _P
+        ready[i] = (y + x) % _P, (y - x) % _P, 2 * _D * x * y % _P
+    return [[(1, 1, 0), *ready[i : i + 255]] for i in range(0, len(ready), 255)]
+
+
+def _times(k: int, rows: list[list[Ready]], start: Point = _ZERO) -> Point:
+    """k times the point that ``rows`` are of, plus ``start``."""
+    x, y, z, t = start
+    for digit, row in zip(k.to_bytes(32, "little"), rows):
+        if digit:
+            plus, minus, both = row[digit]
+            a, b, c, d = (y - x) * minus % _P, (y + x) * plus % _P, t * both % _P, 2 * z
+            e, f, g, h = b - a, d - c, d + c, b + a
+            x, y, z, t = e * f % _P, g * h % _P, f * g % _P, e * h % _P
+    return x, y, z, t
+
+
+_BASES: list[list[Ready]] = []
 _OWN: dict[bytes, tuple[int, bytes, bytes]] = {}
 #: A ledger has few keys, so their multiples are kept as well.
-_KEYS: dict[bytes, list[list[Point]] | None] = {}
+_KEYS: dict[bytes, list[list[Ready]] | None] = {}
 
 
 def _base_times(k: int) -> Point:
@@ -107,6 +113,7 @@ def _expand(seed: bytes) -> tuple[int, bytes]:
     return a, h[32:]
 
 
+@cache
 def public_key(seed: bytes) -> bytes:
     return _pack(_base_times(_expand(seed)[0]))
 
@@ -139,4 +146,4 @@ def verify(key: bytes, message: bytes, signature: str | None) -> bool:
     minus = _KEYS[key]
     if s >= _L or minus is None:
         return False
-    return _pack(_add(_base_times(s), _times(_hash(raw[:32], key, message), minus))) == raw[:32]
+    return _pack(_times(_hash(raw[:32], key, message), minus, _base_times(s))) == raw[:32]

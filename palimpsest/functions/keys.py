@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cache
 
 from palimpsest.functions import ed25519
 from palimpsest.functions.digest import DIGESTS
@@ -12,6 +13,7 @@ from palimpsest.functions.digest import DIGESTS
 ENV_KEY = "PALIMPSEST_SIGNING_KEY"
 
 
+@cache
 def key_id(public: bytes) -> str:
     """The first 16 hexadecimal signs of the public key's digest."""
     return DIGESTS["blake3"]([public])[0].hex()[:16]

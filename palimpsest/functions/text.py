@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.digest import DIGESTS
 
 DIM = 256
-STOP = tuple("a an and are in is it its of on or the to was".split())
+STOP = frozenset("a an and are in is it its of on or the to was".split())
 _STOPS = frozenset(t.encode() for t in STOP)
 #: White space as \s means it in Python for ASCII, spelled out since engines differ.
 _S = r"[ \t\n\r\f\x0B\x1C-\x1F]"
@@ -135,6 +136,15 @@ class HashEmbedder(_Units):
     def buckets(self, tokens: list[bytes]) -> np.ndarray:
         return np.array([int.from_bytes(d[:4], "big") % self.dim for d in DIGESTS[self.digest](tokens)], np.int64)
 
+    def cells_of(self, text: str | None) -> dict[int, float]:
+        """For one text plain Python is quicker than arrays."""
+        out: dict[int, float] = {}
+        for t in re.findall("[a-z0-9]+", (text or "").lower()):
+            if t not in STOP:
+                at = _bucket(self, t)
+                out[at] = out.get(at, 0) + 1
+        return out
+
     def cells(self, texts: pa.Array) -> pa.Array:
         raw, text, start, end = token_spans(texts)
         if not len(text):
@@ -146,6 +156,11 @@ class HashEmbedder(_Units):
         return _listed(cell // self.dim, cell % self.dim, pa.array(n.astype(np.int64)), len(texts))
 
 
+@lru_cache(1 << 16)
+def _bucket(embedder: HashEmbedder, token: str) -> int:
+    return int(embedder.buckets([token.encode()])[0])
+
+
 @dataclass(frozen=True)
 class ModelEmbedder(_Units):
     """Vectors of a model of one's own: ``model`` takes texts, many at a time, and returns a row of ``dim`` numbers for each."""

@@ -357,7 +357,7 @@ def det_trust_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("record_id", "source_id", "severity", whole("prior"), whole("posterior"), (near("prior") & near("posterior") & F.col("evidence")["source_id"].eqNullSafe(F.col("source_id"))).alias("evidence_fits"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in tx.STOP)
+_STOP = ", ".join(f"'{w}'" for w in sorted(tx.STOP))
 
 
 def _cells(of: str, key: str, text: str) -> str:

@@ -148,7 +148,7 @@ class Ledger:
     def _push(self, head: dict[str, Any], size: int, node: bytes) -> None:
         peaks = [(n, bytes.fromhex(x)) for n, x in head["peaks"]]
         chain.push(peaks, size, node, self._hash)
-        head["peaks"] = [(n, x.hex()) for n, x in peaks]
+        head["peaks"] = [[n, x.hex()] for n, x in peaks]
 
     def _save(self) -> None:
         self._settle()
