@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.sources.tables import read
+from palimpsest.store import Files
 
 TAG = "palimpsest_record_id"
 Extract = Callable[[], Column]
@@ -141,8 +142,13 @@ WATCHED = tuple(f"{name}.md" for name in ("AGENTS", "CLAUDE", "MEMORY"))
 
 
 def scan_files(spark: SparkSession, root: str, snapshot: DataFrame | None = None, max_bytes: int = 5 << 20) -> tuple[DataFrame, DataFrame]:
-    """(records, new snapshot) of watched memory files under ``root``: files that are new or changed since ``snapshot`` (path, digest). Larger ones are skipped before their content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(WATCHED) + "}").load(root).where(F.col("length") <= max_bytes)
+    """(records, new snapshot) of the watched memory files directly in ``root``: those that are new or changed since ``snapshot`` (path, digest). Larger ones are skipped before their content is read."""
+    there = set(Files(spark, root).names(""))
+    paths = [f"{root.rstrip('/')}/{name}" for name in WATCHED if name in there]
+    if paths:
+        files = spark.read.format("binaryFile").load(paths).where(F.col("length") <= max_bytes)
+    else:
+        files = spark.createDataFrame([], "path string, content binary")
     now = files.select("path", F.sha2("content", 256).alias("digest"), F.decode("content", "UTF-8").alias("content"))
     if snapshot is not None:
         now_changed = now.join(snapshot.select("path", F.col("digest").alias("was")), "path", "left").where("was is null or was <> digest").drop("was")

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -69,6 +70,16 @@ def test_canonical_form():
     assert r["content_hash"].startswith("blake3:b4750156")
 
 
+def test_canonical_bytes_are_pinned():
+    """Digest of the bytes that other implementations write for this record."""
+    seen = "2026-01-15T12:00:00Z"
+    source = {"metadata": {"b": 2, "a": 1}, "source_id": "src-fixed-001", "locator": "file:///poison.md", "source_type": "document_ingest", "trust_score": 0.2, "first_seen": seen}
+    text = "The capital of France is Paris."
+    r = write_record(text, source, namespace="demo", created_at=seen, record_id="rec-fixed-001", derived_from=["rec-000"], memory_id="mem-1")
+    for spelling in (r, dict(reversed(list(r.items()))), r | {"signature": "x", "merkle_leaf": "y"}):
+        assert hashlib.sha256(canonical(spelling).encode()).hexdigest() == "4a9fd618eb43ac579db6ba6c0cbf4bfb426b25e15127f8fdab028fb313446c05"
+
+
 @given(st.dictionaries(st.text(max_size=5), st.one_of(st.integers(), st.text(max_size=5), st.none()), max_size=6))
 def test_key_order_does_not_matter(d):
     assert canonical(d) == canonical(dict(reversed(list(d.items()))))

@@ -127,6 +127,9 @@ def test_watched_files(spark, tmp_path):
     (tmp_path / "MEMORY.md").write_text("one")
     (tmp_path / "AGENTS.md").write_text("x" * 100)
     (tmp_path / "other.md").write_text("no")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "MEMORY.md").write_text("not watched")
+    assert calls.scan_files(spark, str(tmp_path / "below" / ".."), max_bytes=2)[0].count() == 0
     records, snap = calls.scan_files(spark, str(tmp_path), max_bytes=50)
     assert [r["content"] for r in records.collect()] == ["one"]
     snap = spark.createDataFrame(snap.collect(), snap.schema)
