@@ -6,8 +6,9 @@ import datetime
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cache, lru_cache
 from math import isqrt
 
 import pyarrow as pa
@@ -187,21 +188,25 @@ def _date(c: Cipher, s: str, back: bool) -> str:
     if not _DATES[0] <= day < _DATES[1]:
         return s
 
-    widths = [len(x) for x in ((parts[2], parts[4]) if order == "ymd" else (parts[0], parts[2]))]
+    kind = _kind(datetime.date.fromordinal(day))
+    days = _days()[kind]
+    new = datetime.date.fromordinal(days[c.permute(f"date{kind}", len(days), bisect_left(days, day), back=back)])
+    two = {"ymd": (new.month, new.day), "mdy": (new.month, new.day), "dmy": (new.day, new.month)}[order]
+    two = [f"{x:0{len(w)}d}" for x, w in zip(two, (parts[2], parts[4]) if order == "ymd" else (parts[0], parts[2]))]
+    return parts[1].join([str(new.year), *two] if order == "ymd" else [*two, str(new.year)])
 
-    def places(v: int) -> tuple[int, int]:
-        new = datetime.date.fromordinal(_DATES[0] + v)
-        return (new.day, new.month) if order == "dmy" else (new.month, new.day)
 
-    def fits(v: int) -> bool:
-        """One digit stays one digit, and a date that starts with its day must not read as one that starts with its month."""
-        two = places(v)
-        return all(x < 10 for x, w in zip(two, widths) if w == 1) and (order != "dmy" or parts[1] != "/" or two[0] > 12)
+def _kind(day: datetime.date) -> tuple[int, bool]:
+    """What a date keeps: whether its day and its month have one digit, so that it can be spelled as it was, and whether its day can be a month."""
+    return (day.day > 9) + (day.day > 12), day.month > 9
 
-    image = c.permute("date", _DATES[1] - _DATES[0], day - _DATES[0], fits, back)
-    two = [f"{x:0{w}d}" for x, w in zip(places(image), widths)]
-    year = str(datetime.date.fromordinal(_DATES[0] + image).year)
-    return parts[1].join([year, *two] if order == "ymd" else [*two, year])
+
+@cache
+def _days() -> dict[tuple[int, bool], list[int]]:
+    out: dict[tuple[int, bool], list[int]] = {}
+    for n in range(*_DATES):
+        out.setdefault(_kind(datetime.date.fromordinal(n)), []).append(n)
+    return out
 
 
 def _ip(c: Cipher, s: str, back: bool) -> str:
@@ -224,14 +229,16 @@ def _number(c: Cipher, s: str, back: bool) -> str:
 
 
 def _phone(c: Cipher, s: str, back: bool) -> str:
-    m = re.match(r"\+([0-9]{1,3})(?=[ .(-])", s)
     if "+" in s:
-        return _digits(c, "phone", s, back, keep=len(m[1]) if m else 0)
+        d = "".join(ch for ch in s if ch.isdigit())
+        return _digits(c, "phone", s, back, keep=1 if d[0] in "17" else 2 if d[:2] in _TWO else 3)
     zero = lambda v: v[0] == "0"  # noqa: E731  (pairs of digits are read as a number only from a 0 on)
     first = zero([ch for ch in s if ch.isdigit()])
     return _digits(c, "phone", s, back, ok=lambda v: zero(v) == first)
 
 
+#: Country codes of two digits; those of one are 1 and 7, all others have three.
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 KINDS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "number": _number, "phone": _phone}
 
 
@@ -259,13 +266,15 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text",
     E-mail addresses (local part), secrets (hex keys and known key formats), IBANs with a right checksum (or in
     groups of four), calendar dates from 1900 to 2099, IPv4 addresses, social security numbers, card and other long numbers (12 to 19 digits)
     and telephone numbers are replaced by a keyed permutation within their format and validity, so a value gets the
-    same pseudonym in every document and spelling, two values never share one, and the owner of the key can undo it.
+    same pseudonym in every document and spelling, two values never share one, and the owner of the key can undo it. Telephone
+    numbers keep their country code; dates keep whether day and month have one digit and whether the day exceeds 12.
     Values that only look like these (13/45/2020, 999.1.2.3) stay, but for wrong IBANs in groups of four, which get wrong ones.
     Ten digits in a row, in groups of 3, 3 and 4 or in pairs from a 0 on count as a telephone number.
     Not covered: national telephone numbers of other lengths, parts of local parts before a combining mark or in
     quotes, domains with non-ASCII letters, IBANs in groups of countries not in IBAN_LENGTHS or with other gaps than
-    spaces and hyphens. Telephone numbers with a country code are not linked with those without. A permutation may map a value to itself; for
-    formats this large that is one chance in thousands to billions.
+    spaces and hyphens. Telephone numbers with a country code are not linked with those without, nor with those that add a
+    trunk zero to it. A permutation may map a value to itself, one time in as many as its format has values: 26 for an
+    address with a local part of one letter, 600 for a date in the last quarter of a year on its 10th to 12th, thousands to billions for others.
 
     Nulls: a null text stays null with 0 replaced; a null id is carried. Empty texts stay. Each row stands for itself,
     repeated or not. An empty table gives an empty one. Other columns, whatever their names, are left aside.

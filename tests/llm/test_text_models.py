@@ -125,6 +125,9 @@ SPELLINGS = [
     ("3056 930902 5904", "30569309025904"),
     ("5551234567", "555 123 4567", "555-123-4567", "(555) 123-4567"),
     ("0612345678", "06 12 34 56 78", "06.12.34.56.78"),
+    ("+33 612345678", "+33612345678", "+33 6 12 34 56 78", "+33.6.12.34.56.78", "+33-612-345-678"),
+    ("+1 (017) 555-7713", "+10175557713", "+1 017 555 7713"),
+    ("+4915112345678", "+49 151 1234 5678", "+49 (151) 12345678"),
     ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "GB82-WEST-1234-5698-7654-32"),
     ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"),
     ("AT61 1904 3002 3457 3201", "AT611904300234573201"),
@@ -132,6 +135,25 @@ SPELLINGS = [
 ]
 
 
+def test_spellings_of_a_date_share_its_pseudonym():
+    seen = set()
+    for k in range(0, 73_000, 37):
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(days=k)
+        y, m, d = day.year, day.month, day.day
+        spellings = [(f"{y}-{m:02d}-{d:02d}", "ymd"), (f"{y}/{m}/{d}", "ymd"), (f"{d:02d}.{m:02d}.{y}", "dmy"), (f"{d}.{m}.{y}", "dmy"), (f"{d}-{m}-{y}", "dmy"), (f"{m:02d}/{d:02d}/{y}", "mdy")]
+        if d > 12:
+            spellings.append((f"{d}/{m}/{y}", "dmy"))
+        images = set()
+        for s, order in spellings:
+            out, _ = rewrite(s, C)
+            assert rewrite(out, C, back=True)[0] == s and len(out) == len(s)
+            parts = dict(zip(order, map(int, re.split("[-/.]", out))))
+            images.add(datetime.date(parts["y"], parts["m"], parts["d"]))
+        assert len(images) == 1
+        seen |= images
+    assert len(seen) == len(range(0, 73_000, 37))
+
+
 @pytest.mark.parametrize("spellings", SPELLINGS)
 def test_spellings_of_a_value_share_its_pseudonym(spellings):
     images = set()
