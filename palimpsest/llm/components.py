@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.shared import cut
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """From (u, v): u is a node, v a neighbour; adds m, the least of u and its neighbours."""
-    return pairs.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    """From (u, v): u is a node, v a neighbour; adds m, the least of u and its neighbours. Minima are combined before they are shuffled and joined back, so no node's pairs must fit one task."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bloom import RepeatFilter
-from palimpsest.llm.tables import HIDDEN, first_row_order, q, read
+from palimpsest.llm.tables import first_row_order, hidden, q, read
 
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_filter_bytes: int = 256 << 20) -> DataFrame:
@@ -20,7 +20,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     copies of each other. Rows with the same text and id: the first by the other columns stays; of rows equal in
     every column one stays. An empty table gives an empty table. All columns are kept, whatever their names.
     """
-    h = HIDDEN + "h"
+    h = hidden(docs, "h")
     text = q(text_col)
     hashed = F.when(text.isNotNull(), F.xxhash64(text))
     filt = RepeatFilter(docs.select(hashed.alias(h)), docs.count(), max_bytes=max_filter_bytes)
@@ -28,8 +28,8 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     rest = flagged.where(~F.col(h)).drop(h)
     others = [c for c in docs.columns if c != text_col]
     row, order = F.struct(*[q(c).alias(f"c{i}") for i, c in enumerate(others)]), first_row_order(docs, id_col, (text_col,))
-    kept = flagged.where(F.col(h)).groupBy(text.alias(HIDDEN + "text")).agg(F.min_by(row, order).alias(HIDDEN + "row"))
-    back = [F.col(HIDDEN + "text").alias(c) if c == text_col else F.col(f"{HIDDEN}row.c{others.index(c)}").alias(c) for c in docs.columns]
+    kept = flagged.where(F.col(h)).groupBy(text.alias("text")).agg(F.min_by(row, order).alias("row"))
+    back = [F.col("text").alias(c) if c == text_col else F.col(f"row.c{others.index(c)}").alias(c) for c in docs.columns]
     return rest.unionByName(kept.select(*back))
 
 

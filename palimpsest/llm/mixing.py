@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tables import HIDDEN, q, read
+from palimpsest.llm.tables import hidden, q, read
 from palimpsest.llm.textkit import count_tokens
 from palimpsest.shared import cut
 
@@ -45,7 +45,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weig
     Null ids share one hash. Rows with equal hashes (repeated ids) are taken or left together. A weight of 0 drops
     a source (but for rows without tokens before its first token). An empty table gives an empty table. All columns are kept, whatever their names.
     """
-    u, s, t, b = (HIDDEN + x for x in "ustb")
+    u, s, t, b, top = (hidden(docs, x) for x in ("u", "s", "t", "b", "limit"))
     hashed = unit_of(q(id_col), seed)
     src = F.coalesce(F.concat(F.lit("="), q(source_col)), F.lit("null"))
     narrow = docs.select(src.alias(s), hashed.alias(u), tokens_of(q(text_col)).alias(t))
@@ -68,8 +68,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weig
     fits = inside.groupBy(s, u, "before", "budget").agg(F.sum(t).alias(t)).withColumn("upto", F.col("before") + F.sum(t).over(Window.partitionBy(s).orderBy(u)))
     last = fits.groupBy(s).agg(F.max(F.when(F.col("upto") <= F.col("budget"), F.col(u))).alias("last"))
     start = F.shiftleft(F.col("end_bucket"), 60 - BUCKETS.bit_length() + 1)
-    limit = ends.join(last, s, "left").select(F.col(s).alias(s), F.when(F.col("end_bucket").isNull(), F.lit(1 << 60)).otherwise(F.coalesce("last", start - 1)).alias(HIDDEN + "limit"))
-    out = docs.withColumn(s, src).withColumn(u, hashed).join(hint(limit), s).where(F.col(u) <= F.col(HIDDEN + "limit"))
+    limit = ends.join(last, s, "left").select(F.col(s).alias(s), F.when(F.col("end_bucket").isNull(), F.lit(1 << 60)).otherwise(F.coalesce("last", start - 1)).alias(top))
+    out = docs.withColumn(s, src).withColumn(u, hashed).join(hint(limit), s).where(F.col(u) <= F.col(top))
     return out.select(*[q(c) for c in docs.columns])
 
 

@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import textkit as tk
 from palimpsest.llm.bloom import RepeatFilter
 from palimpsest.llm.components import components
-from palimpsest.llm.tables import HIDDEN, first_row_order, q, read
+from palimpsest.llm.tables import first_row_order, hidden, q, read
 from palimpsest.shared import cut
 
 ROWS, BANDS, THRESHOLD, NGRAM = 5, 30, 0.6, 2
@@ -141,8 +141,9 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = NGRAM, per_centre: int =
     Only texts of some pair are shuffled (a Bloom filter leaves out the others). The text of a is sent once to every
     ``per_centre`` partners and held while they stream past it, so no group is held in memory.
     """
-    salts = F.ceil(F.count("*").over(Window.partitionBy("a")) / per_centre).cast("long")
-    e = pairs.select("a", "b", F.pmod(F.xxhash64("b"), salts).alias("s"))
+    # Few centres have so many partners that they need several parts; counts are combined before they are shuffled.
+    large = pairs.groupBy("a").agg(F.ceil(F.count("*") / per_centre).cast("long").alias("parts")).where("parts > 1")
+    e = pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))).alias("s"))
     roles = cut(e.select("a", "s", F.col("b").alias("h")).unionByName(e.select("a", "s", F.col("a").alias("h")).distinct()))
     ids = roles.select("h").distinct()
     wanted = RepeatFilter(ids.unionByName(ids), ids.count())
@@ -156,11 +157,14 @@ def near_pairs(texts: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS,
     """(a, b): pairs of text hashes with similarity of at least ``threshold`` that join the same components as all such pairs that share a band.
 
     In each bucket every text is first compared with the least; a text that is unlike that one is then compared with
-    all others of the bucket. So a bucket of copies takes one comparison a text, and nothing is left out.
+    all others of the bucket. So a bucket of copies takes one comparison a text, and nothing is left out. Least members are
+    found by an aggregation that combines before it shuffles and joined back, so a bucket with a third of all texts is
+    no single task: that join's other side has one row a bucket, and hot keys of it are split by adaptive execution.
     """
-    least = F.min("h").over(Window.partitionBy("band"))
+    signed = cut(texts.select("h", "text").mapInArrow(_sign(rows, bands, n), "band long, h long"))
+    heads = signed.groupBy("band").agg(F.min("h").alias("c"), F.max("h").alias("top")).where("c < top")
     # Buckets of several texts only, without their least member.
-    buckets = cut(texts.select("h", "text").mapInArrow(_sign(rows, bands, n), "band long, h long").withColumn("c", least).where("h <> c"))
+    buckets = cut(signed.join(heads.select(F.col("band"), "c"), "band").where("h <> c"))
     first = cut(verify(buckets.select(F.col("c").alias("a"), F.col("h").alias("b")).distinct(), texts, n))
     unlike = first.where(F.col("similarity") < threshold).select(F.col("a").alias("c"), F.col("b").alias("x"))
     odd = buckets.join(unlike, (buckets["c"] == unlike["c"]) & (buckets["h"] == unlike["x"])).select("band", "x")
@@ -183,7 +187,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "t
     empty table gives an empty table. All columns are kept, whatever their names. Texts are told apart by 64 bits of
     hash within the groups (two different texts of 30 billion agree in about 24 pairs).
     """
-    h = HIDDEN + "h"
+    h = hidden(docs, "h")
     hashed = F.when(q(text_col).isNotNull(), F.xxhash64(q(text_col)))
     repeats = RepeatFilter(docs.select(hashed.alias(h)), docs.count())
     narrow = docs.select(hashed.alias("h"), q(text_col).alias("text")).where("h is not null")
@@ -192,7 +196,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "t
     groups = cut(components(near_pairs(texts, threshold, rows, bands, n)))
     nodes = groups.select("node")
     grouped = RepeatFilter(nodes.unionByName(nodes), nodes.count())
-    flag = HIDDEN + "flag"
+    flag = hidden(docs, "flag")
     marked = docs.withColumn(h, hashed)
     marked = marked.withColumn(flag, F.coalesce(repeats.hit(F.col(h)) | grouped.hit(F.col(h)), F.lit(False)))
     rest = marked.where(~F.col(flag)).drop(h, flag)

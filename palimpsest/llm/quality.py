@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import textkit as tk
-from palimpsest.llm.tables import HIDDEN, q, read
+from palimpsest.llm.tables import hidden, q, read
 
 WORDS, META, RANK = 1 << 16, 1 << 10, 8
 STATS = ("length", "upper", "digit", "symbol", "bang", "pipe", "space", "word_len", "word_len_sd", "line_len", "distinct", "short", "repeated", "wide")
@@ -222,7 +222,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, keep_rate: float = 0.998,
     machine = train(docs, labels, keep_rate, max_labelled, text_col, id_col)
     if machine is None:
         return docs
-    s = HIDDEN + "score"
+    s = hidden(docs, "score")
     return docs.withColumn(s, score_column(docs, machine, text_col)).where(F.col(s) >= machine.threshold).drop(s)
 
 

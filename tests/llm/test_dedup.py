@@ -44,6 +44,38 @@ def test_exact_with_a_full_filter_is_still_exact(spark):
     assert ids(small) == plain(*want.values())
 
 
+def clash(spark):
+    """Documents with columns that operators might use themselves."""
+    rows = [(1, "a b c d", "en", "x"), (2, "a b c d", "en", "x"), (3, "e f g h", "en", "y"), (4, None, None, None)]
+    names = ["h", "flag", "text", "row", "u", "s", "t", "b", "limit", "score", "picked", "new", "r", "block", "H", "a", "c"]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", *[f"{i} as `__plm_{n}`" for i, n in enumerate(dict.fromkeys(x.lower() for x in names))], "'x' as h", "1 as root", "2 as node", "3 as band")
+
+
+def test_columns_with_hidden_names_are_kept(spark):
+    from palimpsest.llm import langid, mixing, packing, pseudonyms, quality, sharding
+
+    docs = clash(spark)
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    for out in (exact_dedup(docs), near_dedup(docs), mixing.mix_sources(docs, share=(1, 1)), quality.quality_filter(docs, labels)):
+        assert out.columns == docs.columns and out.count() >= 0
+    assert ids(exact_dedup(docs)) == ids(near_dedup(docs)) == plain(1, 3, 4)
+    for out in (packing.pack(docs), pseudonyms.pseudonymise(docs), langid.identify(docs), sharding.shard(docs, shards=2)):
+        assert out.count() > 0
+
+
+def test_smaller_filters_take_fewer_probes_and_lose_nothing(spark):
+    rows = list(range(30_000)) + list(range(10_000))
+    df = spark.createDataFrame([(x * 0x9E3779B97F4A7C15 % 2**64 - 2**63,) for x in rows], "h long").repartition(4)
+    repeated = {h for h, n in Counter(r["h"] for r in df.collect()).items() if n > 1}
+    through = []
+    for limit, probes in ((1 << 20, 4), (4100, 2), (1300, 1), (64, 1)):
+        f = RepeatFilter(df, len(rows), segment_rows=1 << 12, max_bytes=limit)
+        hit = {r["h"] for r in df.where(f.hit(F.col("h"))).collect()}
+        assert repeated <= hit and f.probes == probes and f.bytes <= max(limit, 8 * 16) + 8
+        through.append((len(hit) - len(repeated)) / 20_000)
+    assert through[0] < 0.01 and through[1] < 0.45 and through[2] < 0.75
+
+
 def test_filter_finds_all_repeats_and_few_others(spark):
     rows = list(range(20_000)) + list(range(0, 20_000, 50))
     df = spark.createDataFrame([(x * 0x9E3779B97F4A7C15 % 2**64 - 2**63,) for x in rows], "h long").repartition(8)
