@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import exact_dedup, mixing, near_dedup, packing, quality
 from palimpsest.llm.tables import read
 from palimpsest.shared import ensure_checkpoint_dir
+from palimpsest.store import Files
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +46,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written as Parquet in the shared folder and read by the next."""
+    """All stages over the documents; each is written as Parquet in the shared folder and read by the next, and removed once that has been written. The last, which is returned, stays."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    files = Files(spark, folder)
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        at = f"{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{at}")
+        docs = spark.read.parquet(f"{folder}/{at}")
+        if before:
+            files.remove(before)
+        before = at
     return docs

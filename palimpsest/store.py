@@ -84,7 +84,8 @@ class Files:
             stream.close()
 
     def remove(self, name: str) -> None:
-        self._fs.delete(self._path(name), False)
+        """A file, or a folder with all that is in it."""
+        self._fs.delete(self._path(name), True)
 
 
 def parquet(rows: Iterable[tuple], schema: str) -> bytes:
