@@ -29,7 +29,11 @@ _KIND = _KIND.astype(np.int16)
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket, value) of the hashed words, with values 1 + ln(count) scaled to length 1, and raw statistics (documents, len(STATS))."""
+    """(document, bucket, value) of the hashed words, with values 1 + ln(count) scaled to length 1, and raw statistics (documents, len(STATS)).
+
+    All are of the whole text. One saturates: of each word that is repeated, at most 50 occurrences count towards ``repeated``, so that a
+    long text isn't taken for a repetitive one because of its commonest words.
+    """
     n = len(off) - 1
     h, doc, s, e = tk.words(tk.normalise(raw), off)
     d, key, count = tk.counted(doc, h)

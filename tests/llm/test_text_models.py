@@ -254,6 +254,83 @@ def test_subwords_match_plain_python():
     assert np.bincount(d, minlength=4).tolist() == [count(t) if t else 0 for t in texts]
 
 
+def plain_mix(h):
+    m = (1 << 64) - 1
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & m
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & m
+    return h ^ (h >> 31)
+
+
+def plain_hash(signs, plus=0):
+    m, p, out, power = (1 << 64) - 1, 0x9E3779B97F4A7C15, plus, 1
+    for b in signs:
+        out, power = (out + b * power) & m, power * p & m
+    return plain_mix(out)
+
+
+def plain_language(model, text):
+    """Mean of the subwords' rows, softmax at the temperature, confidence by coverage, rejection: sign by sign."""
+    low = langid.tk.normalise(np.frombuffer((text or "").encode(), np.uint8)).tolist() if text else []
+    at = [plain_hash(low[i : i + n], n) & (langid.BUCKETS - 1) for n in langid.SIZES for i in range(len(low) - n + 1) if all(low[i + 1 : i + n - 1])]
+    if not at:
+        return "und", 0.0
+    mean = [sum(float(model.table[b, c]) for b in at) / len(at) for c in range(model.table.shape[1])]
+    z = np.exp([v / model.temperature for v in mean[:-1]])
+    p = z / z.sum() * min(1.0, mean[-1] / model.usual)
+    return (model.languages[int(p.argmax())] if p.max() >= model.least else "und"), float(p.max())
+
+
+def test_language_against_plain_python(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    model = langid.train(docs, per_language=60)
+    odd = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "  .. "), (10**6 + 3, "a"), (10**6 + 4, "12 34 €"), (10**6 + 5, "Привет мир как дела"), (10**6 + 6, "été naïve")]
+    some = docs.where("doc_id % 9 = 0 and n_chars < 4000").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string")).cache()
+    got = {r["doc_id"]: (r["language"], r["confidence"]) for r in langid.identify(some, model=model).collect()}
+    want = {r["doc_id"]: plain_language(model, r["text"]) for r in some.collect()}
+    assert len(want) > 60 and {d: w[0] for d, w in want.items()} == {d: g[0] for d, g in got.items()}
+    assert all(got[d][1] == pytest.approx(c, abs=1e-4) for d, (_, c) in want.items())
+
+
+def plain_features(text):
+    """(bucket -> value, statistics) of a text, sign by sign."""
+    raw = text.encode()
+    low = bytes(quality.tk.normalise(np.frombuffer(raw, np.uint8))) if raw else b""
+    words = low.replace(b"\0", b" ").split()
+    count = {}
+    for w in words:
+        k = plain_hash(w) & ((1 << 52) - 1)
+        count[k] = count.get(k, 0) + 1
+    value = {k: 1 + np.log(n) for k, n in count.items()}
+    norm = np.sqrt(sum(v * v for v in value.values()))
+    cells = {}
+    for k, v in value.items():
+        b = plain_mix(k) & (quality.WORDS - 1)
+        cells.setdefault(b, []).append(v / norm)
+    signs = [chr(b) if b < 128 else "é" for b in raw]
+    n, nw = max(1, len(raw)), max(1, len(words))
+    upper, lower = sum(c.isascii() and c.isupper() for c in signs), sum(c.isascii() and c.islower() for c in signs)
+    digit, bang, pipe, space, lines = sum(c.isascii() and c.isdigit() for c in signs), signs.count("!"), signs.count("|"), sum(c in " \t\r\n" for c in signs), signs.count("\n")
+    symbol = sum(c.isascii() and not (c.isalnum() or c in " \t\r\n.,;:'\"()-?!|") for c in signs)
+    wide = n - upper - lower - digit - bang - pipe - space - symbol if raw else 0
+    size = [len(w) for w in words]
+    mean = sum(size) / nw
+    sd = np.sqrt(max(0, sum(v * v for v in size) / nw - mean**2))
+    return cells, [np.log1p(len(raw)), upper / max(1, upper + lower), digit / n, symbol / n, bang / n, pipe / n, space / n, mean, sd, np.log1p(len(raw) / (lines + 1)), len(count) / nw, sum(v <= 2 for v in size) / nw, sum(min(v, 50) for v in count.values() if v > 1) / nw, wide / n]
+
+
+def test_quality_features_against_plain_python(spark):
+    texts = ["", "a", "Buy NOW!!! || 50% off\n\n@@@ été ÉTÉ", "the the the cat\tsat, on: the (mat)? 'x' \"y\"", "漢字 mixed 漢字", "word " * 300] + [r["text"] for r in spark.read.parquet(f"{BIG}/documents.parquet").limit(40).collect()]
+    raw, off, _ = quality.tk.text_buffers(pa.array(texts))
+    d, b, v, stats = quality.features(raw, off)
+    for i, t in enumerate(texts):
+        cells, want = plain_features(t)
+        got = {}
+        for k, x in zip(b[d == i].tolist(), v[d == i].tolist()):
+            got.setdefault(k, []).append(x)
+        assert got.keys() == cells.keys() and all(sorted(got[k]) == pytest.approx(sorted(cells[k])) for k in cells)
+        assert stats[i].tolist() == pytest.approx(want), t[:30]
+
+
 def brute_path(m, f):
     import itertools
 
