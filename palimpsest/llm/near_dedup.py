@@ -153,11 +153,77 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int = NGRAM, per_centre: int =
     return ordered.select("a", "b", "text").mapInArrow(_compare(n), "a long, b long, similarity double")
 
 
+def _compare_blocks(threshold: float, n: int):
+    """Rows (band, o, m, member, h, text) in order of the first four: the texts of a group that are held, then the members that stream past them.
+
+    A text is compared with the held ones of a cluster until one is like it; what is joined already needs no more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple[int, int, int] | None = None
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        cluster: list[int] = []  # of each held text
+        for batch in batches:
+            band, o, m, member, h = (np.asarray(batch.column(i)) for i in range(5))
+            raw, off, _ = tk.text_buffers(batch.column(5))
+            oa, ob = [], []
+            for i, j in tk.pieces(off):
+                doc, key, count = shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], n)
+                cut_at = np.searchsorted(doc, np.arange(j - i + 1))
+                for x in range(j - i):
+                    at, k, w = (band[i + x], o[i + x], m[i + x]), key[cut_at[x] : cut_at[x + 1]], count[cut_at[x] : cut_at[x + 1]]
+                    if at != group:
+                        group, held, cluster = at, [], []
+                    joined: set[int] = set()
+                    for y, (other, ok, ow) in enumerate(held):
+                        if cluster[y] not in joined and similarity(ok, ow, k, w) >= threshold:
+                            joined.add(cluster[y])
+                            if member[i + x] or not at[2]:  # held texts meet in every group of their block, and are reported by the first
+                                oa.append(other)
+                                ob.append(h[i + x])
+                    if member[i + x] == 0:
+                        cluster = [len(held) if c in joined else c for c in cluster]
+                        held.append((h[i + x], k.copy(), w.copy()))
+                        cluster.append(len(held) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(oa, pa.int64()), pa.array(ob, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def unlike_pairs(buckets: DataFrame, unlike: DataFrame, texts: DataFrame, threshold: float, n: int = NGRAM, block: int = 64) -> DataFrame:
+    """(a, b): pairs that join every text of ``unlike`` (c, h) with those like it among the members of its ``buckets`` (band, h, c).
+
+    The unlike texts and the members of a bucket are cut into blocks of about ``block`` by hash. A task holds a block
+    of unlike texts while a block of members streams past, so no pair is emitted that isn't found alike, and a text is
+    sent to as many tasks as the other side has blocks.
+    """
+    odd = buckets.join(unlike, ["c", "h"], "left_semi").select("band", "h")
+    blocks = lambda df, name: df.groupBy("band").agg(F.ceil(F.count("*") / block).cast("long").alias(name))
+    members = buckets.select("band", "h").join(blocks(odd, "no"), "band")
+    plan = cut(members.groupBy("band").agg(F.max("no").alias("no"), F.ceil(F.count("*") / block).cast("long").alias("nm")))
+    upto = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    place = F.pmod(F.xxhash64("h", F.lit(1)), "no")
+    held = odd.join(plan, "band").select("band", place.alias("o"), upto("nm").alias("m"), F.lit(0).alias("member"), "h")
+    marks = odd.select(F.col("band").alias("b"), F.col("h").alias("x"))
+    passing = buckets.select("band", "h").join(plan, "band").join(marks, (F.col("band") == F.col("b")) & (F.col("h") == F.col("x")), "left")
+    passing = passing.select("band", upto("no").alias("o"), F.pmod(F.xxhash64("h", F.lit(2)), "nm").alias("m"), F.lit(1).alias("member"), "h", F.when(F.col("x").isNotNull(), place).alias("own"))
+    # Two unlike texts meet once: within their block, or where the one of the lower block is held.
+    passing = passing.where("own is null or own > o").drop("own")
+    roles = cut(held.unionByName(passing))
+    ids = roles.select("h").distinct()
+    wanted = RepeatFilter(ids.unionByName(ids), ids.count())
+    rows = roles.join(texts.where(wanted.hit(F.col("h"))), "h").select("band", "o", "m", "member", "h", "text")
+    # Comparing costs far more than bytes tell, so the number of tasks is given and not left to coalescing by size.
+    tasks = max(roles.sparkSession.sparkContext.defaultParallelism, -(-roles.count() // 10_000))
+    ordered = rows.repartition(tasks, "band", "o", "m").sortWithinPartitions("band", "o", "m", "member", "h")
+    return ordered.mapInArrow(_compare_blocks(threshold, n), "a long, b long")
+
+
 def near_pairs(texts: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, bands: int = BANDS, n: int = NGRAM) -> DataFrame:
     """(a, b): pairs of text hashes with similarity of at least ``threshold`` that join the same components as all such pairs that share a band.
 
     In each bucket every text is first compared with the least; a text that is unlike that one is then compared with
-    all others of the bucket. So a bucket of copies takes one comparison a text, and nothing is left out. Least members are
+    the others of the bucket, block by block. So a bucket of copies takes one comparison a text, and nothing is left out. Least members are
     found by an aggregation that combines before it shuffles and joined back, so a bucket with a third of all texts is
     no single task: that join's other side has one row a bucket, and hot keys of it are split by adaptive execution.
     """
@@ -166,12 +232,8 @@ def near_pairs(texts: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS,
     # Buckets of several texts only, without their least member.
     buckets = cut(signed.join(heads.select(F.col("band"), "c"), "band").where("h <> c"))
     first = cut(verify(buckets.select(F.col("c").alias("a"), F.col("h").alias("b")).distinct(), texts, n))
-    unlike = first.where(F.col("similarity") < threshold).select(F.col("a").alias("c"), F.col("b").alias("x"))
-    odd = buckets.join(unlike, (buckets["c"] == unlike["c"]) & (buckets["h"] == unlike["x"])).select("band", "x")
-    others = odd.join(buckets.select("band", F.col("h").alias("y")), "band").where("x <> y")
-    more = others.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = verify(cut(more), texts, n)
-    return first.unionByName(second).where(F.col("similarity") >= threshold).select("a", "b")
+    unlike = first.where(F.col("similarity") < threshold).select(F.col("a").alias("c"), F.col("b").alias("h"))
+    return first.where(F.col("similarity") >= threshold).select("a", "b").unionByName(unlike_pairs(buckets, unlike, texts, threshold, n))
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id", rows: int = ROWS, bands: int = BANDS, n: int = NGRAM) -> DataFrame:

@@ -10,7 +10,7 @@ from palimpsest.llm import textkit as tk
 from palimpsest.llm.bloom import RepeatFilter
 from palimpsest.llm.components import components
 from palimpsest.llm.exact_dedup import exact_dedup
-from palimpsest.llm.near_dedup import band_hashes, near_dedup, near_pairs, registers, shingles, similarity
+from palimpsest.llm.near_dedup import band_hashes, near_dedup, near_pairs, registers, shingles, similarity, unlike_pairs
 from tests.conftest import DATA
 from tests.llm.conftest import make
 
@@ -201,6 +201,29 @@ def merge(pairs):
     return groups
 
 
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_unlike_texts_of_a_bucket_join_as_all_their_pairs_do(spark, block):
+    """One bucket that holds everything, its least text like none: components of what is found are those of all pairs."""
+    rng = random.Random(7)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    boiler, texts = words(40), ["least of all"]
+    for size in (1, 1, 6, 9, 14):
+        base = words(40)
+        for _ in range(size):  # each is like some of its kind and not like others
+            texts.append(" ".join(boiler + [w if rng.random() > 0.12 else words(1)[0] for w in base]))
+    sets = [grams(t) for t in texts]
+    every = [(i, j) for i in range(1, len(texts)) for j in range(i + 1, len(texts)) if brute(sets[i], sets[j]) >= 0.6]
+    buckets = spark.createDataFrame([(5, i, 0) for i in range(1, len(texts))], "band long, h long, c long")
+    table = spark.createDataFrame(list(enumerate(texts)), "h long, text string")
+    for odd in (range(1, len(texts)), range(1, len(texts), 3)):  # all unlike the least text, and some of them
+        want = [(i, j) for i, j in every if i in odd or j in odd]
+        got = unlike_pairs(buckets, spark.createDataFrame([(0, i) for i in odd], "c long, h long"), table, 0.6, block=block).collect()
+        pairs = [tuple(sorted((r["a"], r["b"]))) for r in got]
+        assert set(pairs) <= set(want) and len(pairs) == len(set(pairs)) <= len(want)
+        assert sorted(map(sorted, merge(pairs))) == sorted(map(sorted, merge(want)))
+    assert len(every) > 60 and unlike_pairs(buckets, spark.createDataFrame([], "c long, h long"), table, 0.6).count() == 0
+
+
 def test_unlike_texts_in_one_bucket_are_all_compared(spark):
     """Two pairs of copies that share a boilerplate: each pair is found whichever text is least."""
     rng = random.Random(5)
