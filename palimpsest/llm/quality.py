@@ -148,11 +148,21 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, meta: np.n
     if (y[held] == 1).any():
         rows = np.flatnonzero(held)
         d, f, x = assemble(np.repeat(np.arange(len(rows)), [len(docs[r][0]) for r in rows]), np.concatenate([docs[r][0] for r in rows]), np.concatenate([docs[r][1] for r in rows]), std[rows], list(meta[rows].T))
-        good = out.scores(d, f, x, len(rows))[y[rows] == 1]
-        out.threshold = float(min(0.5, np.quantile(good, 1 - keep_rate)))
+        out.threshold = threshold(out.scores(d, f, x, len(rows)), y[rows], keep_rate)
     return out
 
 
+def threshold(scores: np.ndarray, y: np.ndarray, keep_rate: float) -> float:
+    """The score, 0.5 at most, that keeps ``keep_rate`` of the good rows held out.
+
+    Good rows that score under the median of the bad ones are taken for mislabelled and left aside, or a few of them would let
+    nearly everything pass. If all do, the classes can't be told apart and every good row counts.
+    """
+    good, bad = scores[y == 1], scores[y == 0]
+    sure = good[good >= np.median(bad)] if len(bad) else good
+    return float(min(0.5, np.quantile(sure if len(sure) else good, 1 - keep_rate)))
+
+
 def train(docs: DataFrame, labels: DataFrame, keep_rate: float = 0.998, max_labelled: int = MAX_LABELLED, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang") -> Machine | None:
     """A machine fitted on at most ``max_labelled`` labelled rows, those with the least hash of their id; None without labels of both classes."""
     marks = labels.where(q(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(q(id_col).alias("id")).agg(F.min("quality").alias("y"))
@@ -209,7 +219,8 @@ def classify(docs: DataFrame, labels: DataFrame, keep_rate: float = 0.998, max_l
     """(id, score, keep) of every row: the machine's score and whether it is accepted.
 
     The machine is fitted on at most ``max_labelled`` rows of ``labels`` (id, quality 0 or 1); every row is scored on
-    its whole text. The threshold keeps ``keep_rate`` of the good rows held out, and is 0.5 at most.
+    its whole text. The threshold keeps ``keep_rate`` of the good rows held out, but for those that score like bad ones,
+    and is 0.5 at most.
 
     Nulls: texts that are null or blank score 0 and are rejected; null source or language has a feature of its own; a
     null id is carried; null labels are left out; of several labels of one id the worse counts. Repeated rows score

@@ -211,6 +211,23 @@ def test_quality_held_out(spark):
     assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.2
 
 
+def test_threshold_of_quality_withstands_wrong_labels():
+    rng = np.random.default_rng(5)
+    good, bad = rng.uniform(0.6, 1, 1000), rng.uniform(0, 0.2, 1000)
+    clean = quality.threshold(np.concatenate([good, bad]), np.repeat([1, 0], 1000), 0.998)
+    assert clean == 0.5
+    good = rng.uniform(0.3, 1, 1000)
+    scores = np.concatenate([good, bad])
+    clean = quality.threshold(scores, np.repeat([1, 0], 1000), 0.998)
+    assert clean == np.quantile(good, 0.002)
+    wrong = np.repeat([1, 0], 1000)
+    wrong[1000 + np.argsort(bad)[:20]] = 1  # the twenty worst rows are called good
+    got = quality.threshold(scores, wrong, 0.998)
+    assert (good >= got).mean() >= 0.99 and (bad >= got).mean() <= 0.2
+    assert quality.threshold(np.array([0.1, 0.2, 0.8]), np.array([1, 1, 0]), 1.0) == 0.1  # no good row above the bad ones
+    assert quality.threshold(np.array([0.3, 0.4]), np.array([1, 1]), 1.0) == 0.3  # no bad row held out
+
+
 def test_quality_messy(spark, messy):
     labels = spark.createDataFrame([(1, 1), (7, 0), (8, 0), (None, 1), (9, None), (10, 1), (10, 1)], "doc_id long, quality int")
     out = quality.classify(messy, labels)
