@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -9,12 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions import ed25519
-from palimpsest.functions.digest import DIGESTS, blake3_finish, blake3_heads
+from palimpsest.functions.digest import DIGESTS, blake3_finish, blake3_heads, blake3_resume, blake3_states
 from palimpsest.functions.keys import key_id
 from palimpsest.functions.records import CHECKPOINT, LEDGER
-from palimpsest.shared import cut, spread
+from palimpsest.shared import cut, ensure_checkpoint_dir, spread
 
 BLOCK = 4096
 _REPORT = "ok boolean, rows_checked long, seq long, record_id string, kind string, detail string"
@@ -51,23 +53,94 @@ def linked(rows: list[dict[str, Any]], seed: bytes, after: tuple[int, str | None
     return out
 
 
-def append(batch: DataFrame, seed: bytes, *, after: tuple[int, str] | None = None, digest: str = "blake3") -> DataFrame:
-    """Ledger rows for ``batch`` (order, record_id, kind, namespace, payload_json, created_at), linked after row (seq, entry_hash).
+#: Payload bytes that one task links before the next goes on.
+PIECE = 64 << 20
+_TO_LINK = "order", "record_id", "kind", "namespace", "payload_json", "created_at"
+_LINKED = "seq long, record_id string, kind string, namespace string, payload_json string, entry_hash string, prev_hash string, created_at string"
 
-    A chain is serial by nature: a row's hash needs the one before. So one task folds over the batch in ``order``;
-    batches stay bounded, and a micro-batch stream commits one at a time.
-    """
+
+def _with_states(rows: DataFrame, digest: str) -> DataFrame:
+    """``rows`` (_TO_LINK) with what of each hash doesn't depend on the row before; None for a digest that can't go on from a state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                states = blake3_states(part.column("payload_json").cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(states, pa.binary())], [*part.schema.names, "state"])
+
+    rows = rows.select(*_TO_LINK)
+    if digest != "blake3":
+        return rows.withColumn("state", F.lit(None).cast("binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("state", T.BinaryType())]))
+
+
+def _link(rows: DataFrame, after: tuple[int, str] | None, digest: str) -> DataFrame:
+    """Rows with states, linked after (seq, entry_hash) by one task in ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = after or (0, None)
+        seq, prev = after or (0, None)
         for b in batches:
-            out = linked(b.to_pylist(), seed, at, digest)
-            if out:
-                at = out[-1][0], out[-1][5]
-            cols = list(zip(*out)) if out else [[]] * 10
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64())] + [pa.array(c, pa.string()) for c in cols[1:]], names=[c.split()[0] for c in LEDGER.split(", ")])
+            first, entries, before = seq, [], []
+            for payload, state in zip(b.column("payload_json").cast(pa.binary()).to_pylist(), b.column("state").to_pylist()):
+                if state is not None and prev:
+                    raw = blake3_resume(state, len(payload), payload[len(payload) // 64 * 64 :] + prev.encode())
+                else:
+                    raw = DIGESTS[digest]([payload + (prev or "").encode()])[0]
+                before.append(prev)
+                prev = f"{digest}:{raw.hex()}"
+                entries.append(prev)
+                seq += 1
+            kept = {c: b.column(c) for c in ("record_id", "kind", "namespace", "payload_json", "created_at")}
+            kept |= {"seq": pa.array(range(first + 1, seq + 1), pa.int64()), "entry_hash": pa.array(entries, pa.string()), "prev_hash": pa.array(before, pa.string())}
+            names = [c.split()[0] for c in _LINKED.split(", ")]
+            yield pa.RecordBatch.from_arrays([kept[c] for c in names], names)
+
+    return rows.coalesce(1).sortWithinPartitions("order").select(*_TO_LINK[1:], "state").mapInArrow(run, _LINKED)
+
+
+def _signed(rows: DataFrame, seed: bytes) -> DataFrame:
+    """Linked rows as in LEDGER; signatures don't depend on each other, so fewer pieces than cores are spread, in short runs of rows."""
+    kid, cores = key_id(ed25519.public_key(seed)), rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores, F.expr("(seq - 1) div 64"))
 
-    return batch.repartition(1).sortWithinPartitions("order").select("record_id", "kind", "namespace", "payload_json", "created_at").mapInArrow(run, LEDGER)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            signed = [ed25519.sign(seed, bytes.fromhex(x.partition(":")[2])) for x in b.column("entry_hash").to_pylist()]
+            have = dict(zip(b.schema.names, b.columns)) | {"signature": pa.array(signed, pa.string()), "signer_kid": pa.array([kid] * len(signed), pa.string())}
+            names = [c.split()[0] for c in LEDGER.split(", ")]
+            yield pa.RecordBatch.from_arrays([have[c] for c in names], names)
+
+    return rows.mapInArrow(run, LEDGER)
+
+
+def append(batch: DataFrame, seed: bytes, *, after: tuple[int, str] | None = None, digest: str = "blake3", piece: int = PIECE) -> DataFrame:
+    """Ledger rows for ``batch`` (order, record_id, kind, namespace, payload_json, created_at), linked after row (seq, entry_hash).
+
+    A chain is serial by nature: a row's hash needs the one before. What doesn't need it is done in parallel: the
+    payloads' whole blocks are hashed before, for BLAKE3, and signatures follow. A batch of more than some ``piece`` payload bytes
+    is ranged by ``order`` into pieces of about that size in the shared folder, and each is linked by a task of its own
+    after the one before, so no task reads more than a piece. The linked pieces stay there, as the result reads them.
+    """
+    spark = batch.sparkSession
+    size = batch.agg(F.sum(F.octet_length("payload_json")).alias("n")).first()["n"] or 0
+    if size <= piece:
+        return _signed(_link(_with_states(spread(batch), digest).repartition(1), after, digest), seed)
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/chain-{uuid.uuid4().hex}"
+    ranged = batch.select(*_TO_LINK).repartitionByRange(-(-size // piece), "order")
+    _with_states(ranged, digest).withColumn("piece", F.spark_partition_id()).write.partitionBy("piece").parquet(f"{folder}/ranged")
+    whole = spark.read.parquet(f"{folder}/ranged")
+    kinds = whole.drop("piece").schema
+    for k in sorted(r["piece"] for r in whole.select("piece").distinct().collect()):
+        to = f"{folder}/linked/piece={k}"
+        _link(spark.read.schema(kinds).parquet(f"{folder}/ranged/piece={k}"), after, digest).write.parquet(to)
+        last = spark.read.schema(_LINKED).parquet(to).agg(F.max_by(F.struct("seq", "entry_hash"), "seq").alias("r")).first()["r"]
+        after = last["seq"], last["entry_hash"]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/ranged")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return _signed(spark.read.schema(_LINKED).parquet(f"{folder}/linked"), seed)
 
 
 #: A run of rows with consecutive seqs: its first row, what is wrong with that one alone, its last row, its length, and its first other failure.

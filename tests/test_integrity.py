@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ed25519
-from palimpsest.functions.digest import DIGESTS, blake3_finish, blake3_heads, blake3_many, digest_udf, labelled
+from palimpsest.functions.digest import DIGESTS, blake3_finish, blake3_heads, blake3_many, blake3_resume, blake3_states, digest_udf, labelled
 from palimpsest.functions.records import CHECKPOINT, canonical, parse, uuid7, violations, write_record
 from palimpsest.operators import chain
 
@@ -219,3 +219,28 @@ def test_payloads_are_not_shuffled_to_be_verified(spark, tmp_path):
     finally:
         type(stored).repartitionByRange = real
     assert seen and all("payload_json" not in c for c in seen)
+
+
+def test_blake3_goes_on_from_whole_blocks():
+    data = lambda n: bytes(i % 251 for i in range(n))
+    sizes = [0, 1, 63, 64, 65, 960, 1000, 1023, 1024, 1025, 1087, 2048, 3073, 4096, 7168, 20000]
+    for tail in (1, 71, 1100, 2500):
+        got = [blake3_resume(state, n, data(n)[n // 64 * 64 :] + b"x" * tail) for n, state in zip(sizes, blake3_states([data(n) for n in sizes]))]
+        assert got == blake3_many([data(n) + b"x" * tail for n in sizes])
+
+
+@pytest.mark.parametrize("digest", ["blake3", "sha256"])
+def test_a_chain_is_linked_in_pieces(spark, digest):
+    """Orders that occur twice keep all their rows; no task links more than a piece."""
+    texts = ["x" * (97 * i % 1500) + f"é{i}" for i in range(60)]
+    batch = spark.createDataFrame([(i // 2, f"rec-{i}", "write", "t", x, "2026-01-01T00:00:00+00:00") for i, x in enumerate(texts)], "order long, record_id string, kind string, namespace string, payload_json string, created_at string").repartition(5)
+    got = chain.append(batch, SEED, after=(7, "x:00"), digest=digest, piece=9000)
+    assert len(got.inputFiles()) > 3
+    rows = sorted(got.collect(), key=lambda r: r["seq"])
+    assert [r["seq"] for r in rows] == list(range(8, 68)) and sorted(r["payload_json"] for r in rows) == sorted(texts)
+    assert [int(r["record_id"][4:]) // 2 for r in rows] == [i // 2 for i in range(60)]
+    at = 7, "x:00"
+    for r in rows:
+        want = chain.linked([r.asDict()], SEED, at, digest)[0]
+        assert tuple(r) == want
+        at = r["seq"], r["entry_hash"]
