@@ -417,8 +417,9 @@ sc AS (SELECT m.record_id, sum(coalesce(c.n, 0) / norms.norm * v) / sqrt(sum(v *
 def det_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Findings with severity; their rounded evidence beside the similarity that it was rounded from."""
     w = cut(det.writes(fixture.ledger(spark, sf)))
-    scored = det.drift_scores(w).select(F.col("record_id").alias("scored"), "source_id", "similarity")
-    found = det.drift(w).select("record_id", "severity", "evidence").join(scored, F.col("record_id") == F.col("scored"))
+    scores = cut(det.drift_scores(w, by_counts=True))
+    scored = scores.select(F.col("record_id").alias("scored"), "source_id", "similarity")
+    found = det.drift(w, scores=scores).select("record_id", "severity", "evidence").join(scored, F.col("record_id") == F.col("scored"))
     fits = (F.abs(F.col("evidence")["similarity"].cast("double") - F.col("similarity")) < 5.001e-5) & F.col("evidence")["source_id"].eqNullSafe(F.col("source_id"))
     return found.select("record_id", "source_id", "severity", F.rint(F.col("similarity") * 1000).cast("long").alias("similarity_thousandths"), fits.alias("evidence_fits"))
 

@@ -190,6 +190,23 @@ def test_drift_in_tiles_is_drift(spark):
     assert got == pytest.approx(want) and tiled == pytest.approx(want) and want
 
 
+def test_drift_shuffles_no_sums_and_decides_ties_as_sql(spark):
+    """Many tiles: a suspect's similarity comes from one task, not from sums of each pair of tiles; neighbours exactly at the threshold are those of the SQL's formula."""
+    words = "river bridge water stone mill wheel grain flour bread oven".split()
+    rng = np.random.default_rng(1)
+    rows = [{"content": " ".join(rng.choice(words, 6)), "trust_level": "untrusted" if i % 3 == 0 else "trusted", "namespace": f"n{i % 2}"} for i in range(90)]
+    found = det.drift_scores(writes(spark, *rows), tile=7, by_counts=True)
+    assert "array<double>" not in found._jdf.queryExecution().optimizedPlan().treeString()
+    raw = [np.array([tx.DEFAULT.cells_of(r["content"]).get(b, 0) for b in range(256)]) for r in rows]
+    size, want = [np.sqrt(float(x @ x)) for x in raw], {}
+    for i, r in enumerate(rows):
+        near = [raw[j] / size[j] for j in range(i) if r["trust_level"] == "untrusted" and rows[j]["trust_level"] == "trusted" and rows[j]["namespace"] == r["namespace"] and float(raw[j] @ raw[i]) / (size[j] * size[i]) >= 0.5]
+        if near:
+            c = np.sum(near, axis=0)
+            want[f"r{i}"] = float(raw[i] / size[i] @ c / np.sqrt(c @ c))
+    assert {r["record_id"]: r["similarity"] for r in found.collect()} == pytest.approx(want) and want
+
+
 def plain_cells(text, digest):
     import re
 
