@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.digest import DIGESTS
 
 DIM = 256
+SLICE = 1 << 20
 STOP = frozenset("a an and are in is it its of on or the to was".split())
 _STOPS = frozenset(t.encode() for t in STOP)
 #: White space as \s means it in Python for ASCII, spelled out since engines differ.
@@ -146,6 +147,14 @@ class HashEmbedder(_Units):
         return out
 
     def cells(self, texts: pa.Array) -> pa.Array:
+        """Some ``SLICE`` bytes of text at a time, as what is held of each token is several times its size."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(texts)]
+        return pa.concat_arrays([self._cells(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+
+    def _cells(self, texts: pa.Array) -> pa.Array:
         raw, text, start, end = token_spans(texts)
         if not len(text):
             return _listed(text, text, pa.array([], pa.int64()), len(texts))

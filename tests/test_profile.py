@@ -207,6 +207,17 @@ def test_drift_shuffles_no_sums_and_decides_ties_as_sql(spark):
     assert {r["record_id"]: r["similarity"] for r in found.collect()} == pytest.approx(want) and want
 
 
+def test_vectors_are_made_of_little_text_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    texts, seen = pa.array(["word%d other" % i * 20 for i in range(300)] + [None, "", "x" * 9000, "end"]), []
+    want = tx.DEFAULT.cells(texts).to_pylist()
+    real = tx.token_spans
+    monkeypatch.setattr(tx, "SLICE", 5000)
+    monkeypatch.setattr(tx, "token_spans", lambda t: seen.append(sum(len(x or "") for x in t.to_pylist())) or real(t))
+    assert tx.DEFAULT.cells(texts).to_pylist() == want and len(seen) > 9 and sorted(seen)[-2] <= 10_000
+
+
 def plain_cells(text, digest):
     import re
 
